@@ -73,45 +73,55 @@ def known_conversions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "unit_key string, dimension string, view string, scale double, offset double, unit_name string")
 
 
-NUM = r"(?:(?<![\d\p{L}°.])[-−+])?\d+(?:[.,]\d+|[   ]\d{3}(?!\d))*(?:e[+-]?\d+)?"
-UNIT = r"((?:(?![-−+]?\d).)*)"
+FIGURE = r"-?\d+(?:\.\d+)?(?:e[+-]?\d+)?"
 
 
 def even_scales(text: Column) -> Column:
     """Number notation "a x 10^-n" becomes "ae-n"; a scale before a unit becomes h@, k@ or m@."""
-    t = F.regexp_replace(text, r"(?<=\d)\s+[x×]\s+10\^([+-]?\d+)", "e$1")
-    t = F.regexp_replace(t, r"(?<=\d)\s*[x×]?\s*10\^(-\d+)", "e$1")
+    t = F.regexp_replace(text, r"(?<=\d)(?:\s+[x×]\s+10\^([+-]?\d+)|\s*[x×]?\s*10\^(-\d+))", "e$1$2")
     for mark, power, words in (("h@", "10\\^2|10²", "100|hundreds?(?: of)?"), ("k@", "10\\^3|10³", "1000|thousands?(?: of)?"), ("m@", "10\\^6|10⁶", "1000000|millions?(?: of)?")):
         figures, word = words.split("|")
         t = F.regexp_replace(t, rf"(^|\s|(?<=\d))(?:[x×]\s?(?:{power}|{figures})|{power}|{word}(?=\s))\s*(?=[\p{{L}}°])", f"$1{mark}")
     return t
 
 
-def figure_text(text: Column) -> Column:
-    """The first printed figure: no label, no bracketed second figure, no remark."""
-    t = F.regexp_replace(F.trim(text), r"^[\p{L} _-]+[:：]\s*", "")
-    t = F.regexp_replace(t, r"(?<!dB)\s*[(（].*$", "")
-    t = F.regexp_replace(t, r"[;,，；]\s*\p{L}.*$", "")
-    t = F.regexp_replace(t, r"(?i)(?<=\S)\s+(?:per\s+(?!rev|sec|s\b|min|hour|h\b)|(?:according|measured|as|see|at|with|when|for|under|each)\b).*$", "")
-    t = F.regexp_replace(t, r"(?i)\s+(?:peak|nominal|typ\.?|max\.?|min\.?|approx\.?)$", "")
-    return even_scales(F.regexp_replace(t, r"(?i)(?<=\d|\s)(ft|feet|in|inches)\.?-", "$1 "))
+def even_numbers(text: Column) -> Column:
+    """Plain notation: a comma before exactly three digits (or a space) groups thousands, any other comma is a decimal point."""
+    t = F.translate(text, "−", "-")
+    t = F.regexp_replace(t, r"(?<=\d)[,    ](?=\d{3}(?!\d))", "")
+    return F.regexp_replace(t, r"(?<=\d),(?=\d)", ".")
 
 
-def number_of(text: Column) -> Column:
-    """A printed number: a comma before exactly three digits groups thousands, any other is a decimal point."""
-    t = F.translate(F.regexp_replace(text, r"[   ]", ""), "−", "-")
-    t = F.regexp_replace(t, r",(?=\d{3}(?!\d))", "")
-    t = F.regexp_replace(F.regexp_replace(t, ",", "."), r"[.]+$", "")
-    return t.try_cast("double")
+def figure_parts(text: Column) -> Column:
+    """The parts of the first printed figure (one, the ends of a span, the items of a list), each a number and maybe a unit.
+
+    No label, no bracketed second figure, no remark.
+    """
+    t = F.regexp_replace(F.trim(text), r"^[\p{L} _-]+[:：]\s*|(?<!dB)\s*[(（].*$|[;,，；]\s*\p{L}.*$", "")
+    t = F.regexp_replace(
+        t, r"(?i)(?<=\S)\s+(?:per\s+(?!rev|sec|s\b|min|hour|h\b).*|(?:according|measured|as|see|at|with|when|for|under|each)\b.*|peak|nominal|typ\.?|max\.?|min\.?|approx\.?)$", ""
+    )
+    t = even_numbers(even_scales(t))
+    t = F.regexp_replace(t, r"(?i)(?<=\d)(?:[-\s]*(?:ft|feet|foot)\b\.?|')[-\s]*(?=\d+(?:\.\d+)?[-\s]*(?:in\b|inch|\"))", "ft+")
+    return F.split(t, r"\s*(?:\bup to\b|\bto\b|\band\b|…|\.\.+|[–—;~]|,\s|\s/\s|(?<=\d)/(?=\d)|(?<!\de)(?<=[\d\p{L}°])\s*-\s*(?=\d)|\s-\s)\s*")
+
+
+def part_number(part: Column) -> Column:
+    """The number of one part; feet and inches count as feet."""
+    feet = F.split(part, r"ft\+")
+    num = lambda c: F.regexp_extract(c, FIGURE, 0).try_cast("double")
+    return F.when(F.size(feet) == 2, num(F.get(feet, F.lit(0))) + num(F.get(feet, F.lit(1))) / 12).otherwise(num(part))
+
+
+def part_unit(part: Column) -> Column:
+    return F.when(F.contains(part, F.lit("ft+")), F.lit("ft")).otherwise(F.trim(F.regexp_replace(part, rf"^.*?{FIGURE}[-\s]*", "")))
 
 
 def unit_key(text: Column) -> Column:
     """Evens out a unit's text; spellings whose case carries meaning (mW, MW, K, mV, MV, GW) keep it."""
-    t = F.regexp_replace(F.trim(even_scales(F.trim(text))), r"\s+", " ")
-    t = F.regexp_replace(t, r"(?:\s*(?:\bto\b|\bup to\b|\bup\b|\band\b|…|\.\.+|[-–—/;,，~]))+\s*$", "")
-    t = F.regexp_replace(F.regexp_replace(t, "µ", "μ"), r"^[-–\s]+|\s+$", "")
+    t = F.translate(F.trim(text), "µ", "μ")
     kept = t.rlike(r"^(?:[hkm]@)?(?:[mM][WV]|K|GW)$")
-    return F.when(F.length(t) > 0, F.when(kept, t).otherwise(F.lower(t)))
+    return F.when(F.length(t) > 0, F.when(kept, t).otherwise(F.lower(F.regexp_replace(t, r"\s+", " "))))
 
 
 def scale_split(key: Column) -> tuple[Column, Column]:

@@ -54,20 +54,14 @@ def readings(records: DataFrame, attr_schema: DataFrame) -> DataFrame:
     r = r.join(schema_names(attr_schema).filter(F.col("vtype").isin(*QUANTITY)), "_name")
     tv = F.col("typed_value")
     text = F.when(F.col("value_text").rlike(r"\d"), F.col("value_text")).when(F.coalesce(tv["kind"], F.lit("text")).isin("text"), tv["text"])
-    t = U.figure_text(text)
-    r = r.withColumn("_t", F.when(t.rlike(r"\d"), t))
-    pair = f"({U.NUM}){U.UNIT}"
-    raw = F.regexp_extract_all("_t", F.lit(pair), 1)
-    r = r.withColumn("_n", F.transform(raw, U.number_of)).withColumn("_u", F.transform(F.regexp_extract_all("_t", F.lit(pair), 2), U.unit_key))
-    feet = F.get("_u", F.lit(0)).rlike(r"^(?:ft\.?|feet|foot|')$") & F.get("_u", F.lit(1)).rlike(r'^(?:in\.?|inch|inches|")$') & (F.size("_n") == 2)
-    r = r.withColumn("_feet", F.coalesce(feet, F.lit(False)))
-    r = r.withColumn("_n", F.when(F.col("_feet"), F.array(F.get("_n", F.lit(0)) + F.get("_n", F.lit(1)) / 12)).otherwise(F.col("_n")))
-    r = r.withColumn("_u", F.when(F.col("_feet"), F.array(F.lit("ft"))).otherwise(F.col("_u")))
+    r = r.withColumn("_p", F.when(text.rlike(r"\d"), F.filter(U.figure_parts(text), lambda p: p.rlike(r"\d"))))
+    r = r.withColumn("_p", F.when(F.size("_p") > 0, F.col("_p")))
+    r = r.withColumn("_n", F.transform("_p", U.part_number)).withColumn("_u", F.transform("_p", U.part_unit))
     # an end of a span or list that prints no unit takes the last one printed
-    last = F.element_at(F.filter("_u", lambda u: u.isNotNull()), -1)
-    r = r.withColumn("_last", F.when(F.size(F.filter("_u", lambda u: u.isNotNull())) > 0, last))
-    spare = F.coalesce(U.unit_key(F.col("unit")), U.unit_key(tv["unit"]))
-    has = F.col("_t").isNotNull()
+    last = F.element_at(F.filter("_u", lambda u: u != ""), -1)
+    r = r.withColumn("_last", F.when(F.exists("_u", lambda u: u != ""), last))
+    spare = F.coalesce(U.unit_key(U.even_scales(F.col("unit"))), U.unit_key(U.even_scales(tv["unit"])))
+    has = F.col("_p").isNotNull()
     typed = (
         F.when(tv["kind"] == "options", tv["options"])
         .when(tv["kind"] == "range", F.array(tv["lower"], tv["upper"]))
@@ -75,8 +69,8 @@ def readings(records: DataFrame, attr_schema: DataFrame) -> DataFrame:
     )
     figures = F.filter(F.when(has, F.col("_n")).otherwise(typed), lambda x: x.isNotNull() & ~F.isnan(x))
     figures = F.when(F.col("vtype") == "quantity", F.slice(figures, 1, 1)).when(F.col("vtype") == "quantity_range", F.slice(figures, 1, 2)).otherwise(figures)
-    k1 = F.coalesce(F.when(has, F.coalesce(F.get("_u", F.lit(0)), F.col("_last"))), spare)
-    k2 = F.coalesce(F.when(has & (F.col("vtype") != "quantity"), F.coalesce(F.get("_u", F.lit(1)), F.col("_last"))), F.when(~has, spare), k1)
+    k1 = F.coalesce(F.when(has, U.unit_key(F.coalesce(F.nullif(F.get("_u", F.lit(0)), F.lit("")), F.col("_last")))), spare)
+    k2 = F.coalesce(F.when(has & (F.col("vtype") != "quantity"), U.unit_key(F.coalesce(F.nullif(F.get("_u", F.lit(1)), F.lit("")), F.col("_last")))), F.when(~has, spare), k1)
     return r.select(
         "record_id", F.lower(F.trim("family_id")).alias("family"), "attr", "vtype", "unit_std", "is_multi_valued", "unit", "value_text",
         F.coalesce(figures, F.array().cast("array<double>")).alias("figures"), k1.alias("unit_key1"), k2.alias("unit_key2"),
@@ -178,7 +172,7 @@ def conversions(obs: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_lin
 
 def harmonise(records: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_links: int = 5) -> DataFrame:
     """Every quantity reading with its figures in unit_std (column std, array<double>) and `changed`."""
-    r = readings(records, attr_schema)
+    r = cut(readings(records, attr_schema))  # read twice: by the links and by the conversion
     obs = r.filter(F.col("unit_key1").isNotNull() & (F.size("figures") > 0)).select("attr", "family", F.col("unit_key1").alias("unit_key"), F.col("figures")[0].alias("x"))
     conv = conversions(obs, attr_schema, rounds, min_links)
     side = lambda i: conv.select("attr", F.col("unit_key").alias(f"unit_key{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("view", "scale", "offset", "how")])
