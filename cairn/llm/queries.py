@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import scan_repair, spam_pages, split_overlap, text_split
+from cairn.llm import byte_bpe, mixing, pair_defects, scan_repair, spam_pages, split_overlap, text_split
 from cairn.session import table
 
 
@@ -34,5 +34,28 @@ def p9_shares(spark, d):
     return spam_pages.judged(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p9_found": p9_found, "p9_shares": p9_shares, "p4_found": p4_found, "p2_found": p2_found, "p2_report": p2_report}
+def p6_found(spark, d):
+    return pair_defects.found(table(spark, d, "generations"), table(spark, d, "questions"))
+
+
+def p7_ids(spark, d):
+    return byte_bpe.encode(table(spark, d, "documents"))
+
+
+def p7_totals(spark, d):
+    return byte_bpe.token_totals(table(spark, d, "documents"))
+
+
+def p8_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {
+    "p6_found": p6_found, "p7_ids": p7_ids, "p7_totals": p7_totals, "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p9_found": p9_found, "p9_shares": p9_shares, "p4_found": p4_found, "p2_found": p2_found, "p2_report": p2_report,
+}
 SQL: dict[str, str] = {}
