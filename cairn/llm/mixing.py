@@ -20,6 +20,7 @@ Runs are repeatable: draws are seeded by source and block.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from cairn.session import cut
 
 BLOCK = 20_000
 LEFT = 12
+LARGE = 5.0  # times the mean of the source
 
 
 def flight(tokens: np.ndarray, p: np.ndarray, left: int, seed: int) -> np.ndarray:
@@ -117,6 +119,24 @@ def plan(totals: list[tuple], targets: list[tuple]) -> dict[str, tuple[float, fl
     return {s: (min(float(m), w / whole * size / tokens[s]), w / whole * size) for s, w, m in usable}
 
 
+def _draw(u: DataFrame) -> DataFrame:
+    """source, doc_id, n_tokens, p with every p 0 or 1: flights block by block, then a landing per source near goal."""
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+    state = cut(u.select(*columns).groupBy("source", "block").applyInPandas(_fly(0), _STATE))
+    is_open = (F.col("p") > 0) & (F.col("p") < 1)
+    decided, turn = [], 0
+    while (most := state.filter(is_open).groupBy("source").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
+        turn += 1
+        decided.append(state.filter(~is_open))
+        again = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(-(-most // BLOCK))).cast("int")
+        state = cut(state.filter(is_open).withColumn("block", again).groupBy("source", "block").applyInPandas(_fly(turn), _STATE))
+    done = reduce(DataFrame.unionByName, [*decided, state.filter(~is_open)])
+    drawn = done.groupBy("source").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("_drawn"))
+    left = state.filter(is_open).join(F.broadcast(drawn), "source", "left").withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0.0)))  # one row per source of the mix
+    landed = left.select(*columns).groupBy("source").applyInPandas(_land, _STATE)
+    return done.unionByName(landed).select("source", "doc_id", "n_tokens", "p")
+
+
 def mix(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, source, n_tokens, copies, target_share, actual_share of every document in the mix."""
     spark = docs.sparkSession
@@ -124,34 +144,26 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFram
     counted = cut(count(docs.join(F.broadcast(wanted.select("source")), "source", "left_semi"), ["doc_id", "source"], path))  # one row per source of the mix
     totals = [tuple(r) for r in counted.groupBy("source").agg(F.count("*"), F.sum("n_tokens")).collect()]  # one row per source of the mix
     rates = plan(totals, [tuple(r) for r in wanted.select("source", "target_share", "max_repeats").collect()])
-    docs_of = {s: n for s, n, _ in totals}
-    rows = [(s, float(int(r + 1e-12)), max(0.0, r - int(r + 1e-12)), goal, -(-docs_of[s] // BLOCK)) for s, (r, goal) in rates.items()]
-    rate = F.broadcast(spark.createDataFrame(rows, "source string, base double, frac double, goal double, blocks int"))  # one row per source of the mix
-    u = counted.join(rate, "source").withColumn("h", F.xxhash64("doc_id", "n_tokens"))
-    known = {s: t for s, _, t in totals}
-    spare = spark.createDataFrame([(s, goal - int(r + 1e-12) * known[s]) for s, (r, goal) in rates.items()], "source string, spare double")
-    u = u.join(F.broadcast(spare), "source")
-    state = u.select("source", "doc_id", "n_tokens", F.col("frac").alias("p"), "h", F.pmod("h", F.greatest("blocks", F.lit(1))).cast("int").alias("block"), F.col("spare").alias("goal"))
-    state = cut(state.groupBy("source", "block").applyInPandas(_fly(0), _STATE))
-    decided, turn = [], 0
-    while True:
-        is_open = (F.col("p") > 0) & (F.col("p") < 1)
-        left = state.filter(is_open)
-        most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        if most <= BLOCK:
-            break
-        turn += 1
-        decided.append(state.filter(~is_open))
-        again = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(-(-most // BLOCK))).cast("int")
-        state = cut(left.withColumn("block", again).groupBy("source", "block").applyInPandas(_fly(turn), _STATE))
-    decided.append(state.filter(~((F.col("p") > 0) & (F.col("p") < 1))))
-    done = decided[0]
-    for d in decided[1:]:
-        done = done.unionByName(d)
-    drawn = done.groupBy("source").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("_drawn"))
-    left = state.filter((F.col("p") > 0) & (F.col("p") < 1)).join(F.broadcast(drawn), "source", "left").withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0.0))).drop("_drawn")
-    landed = left.select(*[c.split()[0] for c in _STATE.split(", ")]).groupBy("source").applyInPandas(_land, _STATE)
-    taken = cut(done.unionByName(landed).join(rate.select("source", "base"), "source").withColumn("copies", (F.col("base") + F.col("p")).cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
+    rows = []
+    for s, n, t in totals:
+        if s in rates:
+            r, goal = rates[s]
+            base = int(r + 1e-12)
+            rows.append((s, float(base), max(0.0, r - base), goal - base * t, max(1, -(-n // BLOCK)), LARGE * t / n))
+    rate = F.broadcast(spark.createDataFrame(rows, "source string, base double, frac double, goal double, blocks int, large double"))  # one row per source of the mix
+    u = counted.join(rate, "source").withColumn("h", F.xxhash64("doc_id", "n_tokens")).withColumn("block", F.pmod("h", "blocks").cast("int"))
+    # large documents are drawn first, so that small ones can make up for what they miss
+    large = u.filter(F.col("n_tokens") > F.col("large")).withColumn("p", F.col("frac"))
+    own = large.groupBy("source").agg(F.sum(F.col("frac") * F.col("n_tokens")).alias("_goal"))
+    first = cut(_draw(large.join(F.broadcast(own), "source").withColumn("goal", F.col("_goal"))))
+    drawn = first.groupBy("source").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("_drawn"))
+    small = u.filter(F.col("n_tokens") <= F.col("large"))
+    sizes = small.groupBy("source").agg(F.sum("n_tokens").alias("_small")).join(F.broadcast(drawn), "source", "left")
+    small = small.join(F.broadcast(sizes), "source").withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0.0)))  # one row per source of the mix
+    fair = F.when(F.col("frac") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("goal") / F.greatest("_small", F.lit(1))))).otherwise(F.lit(0.0))
+    second = _draw(small.withColumn("p", fair))
+    both = first.unionByName(second).join(rate.select("source", "base"), "source")
+    taken = cut(both.withColumn("copies", (F.col("base") + F.col("p")).cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
     per = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("_t"))
     shares = per.crossJoin(F.broadcast(per.agg(F.sum("_t").alias("_all"))))  # one row by one row per source
     shares = shares.select("source", (F.col("_t") / F.col("_all")).alias("actual_share")).join(wanted.select("source", "target_share"), "source")
