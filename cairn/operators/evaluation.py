@@ -124,11 +124,11 @@ def runs(df: DataFrame, order: str, *values: str) -> DataFrame:
 
 
 def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:
-    """id, at: the first place at which two traces differ. a, b: id, trace array<string>."""
-    x = a.select("id", F.posexplode("trace").alias("at", "x"))
-    y = b.select("id", F.posexplode("trace").alias("at", "y"))
-    d = x.join(y, ["id", "at"], "full").filter(~F.col("x").eqNullSafe(F.col("y")))
-    return d.groupBy("id").agg(F.min("at").alias("at"))
+    """id, place: the first place at which two traces differ. a, b: id, trace array<string>."""
+    x = a.select("id", F.posexplode("trace").alias("place", "x"))
+    y = b.select("id", F.posexplode("trace").alias("place", "y"))
+    d = x.join(y, ["id", "place"], "full").filter(~F.col("x").eqNullSafe(F.col("y")))
+    return d.groupBy("id").agg(F.min("place").alias("place"))
 
 
 def cardinality_delta(df: DataFrame, *by: str) -> DataFrame:
