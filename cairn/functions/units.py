@@ -67,7 +67,7 @@ def known_conversions(spark: SparkSession) -> DataFrame:
     """
     rows = []
     for name, dim, view, scale, offset in KNOWN_UNITS:
-        words, *phrases = SPELLINGS.get(name, "" if name in _CASED else name.lower()).split("|")
+        words, *phrases = SPELLINGS.get(name, "" if name in _CASED else f"|{name.lower()}").split("|")
         keys = {name.replace("µ", "μ"), *words.split(), *phrases}
         rows += [(k, dim, view, scale, offset, name) for k in sorted(keys)]
     return spark.createDataFrame(rows, "unit_key string, dimension string, view string, scale double, offset double, unit_name string")
@@ -103,7 +103,7 @@ def figure_parts(text: Column) -> Column:
     )
     t = even_numbers(even_scales(t))
     t = F.regexp_replace(t, r"(?i)(?<=\d)(?:[-\s]*(?:ft|feet|foot)\b\.?|')[-\s]*(?=\d+(?:\.\d+)?[-\s]*(?:in\b|inch|\"))", "ft+")
-    return F.split(t, r"\s*(?:\bup to\b|\bto\b|\band\b|…|\.\.+|[–—;~]|,\s|\s/\s|(?<=\d)/(?=\d)|(?<!\de)(?<=[\d\p{L}°])\s*-\s*(?=\d)|\s-\s)\s*")
+    return F.split(t, r"\s*(?:\bup to\b|\bto\b|\band\b|…|\.\.+|[–—;~]|,\s|\s/\s|(?<=\d)/(?=\d)|(?<!\de)(?<=[\d\p{L}°])-(?=\d)|\s-\s)\s*")
 
 
 def part_number(part: Column) -> Column:

@@ -170,10 +170,17 @@ def conversions(obs: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_lin
     )
 
 
+def first_figures(r: DataFrame) -> DataFrame:
+    """attr, family, unit_key, x for the links; a unit that only a second end prints is a node without figures."""
+    first = r.filter(F.col("unit_key1").isNotNull() & (F.size("figures") > 0)).select("attr", "family", F.col("unit_key1").alias("unit_key"), F.col("figures")[0].alias("x"))
+    second = r.filter((F.col("unit_key2") != F.col("unit_key1")) & (F.size("figures") > 1)).select("attr", "family", F.col("unit_key2").alias("unit_key"), F.lit(None).cast("double").alias("x"))
+    return first.unionByName(second)
+
+
 def harmonise(records: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_links: int = 5) -> DataFrame:
     """Every quantity reading with its figures in unit_std (column std, array<double>) and `changed`."""
     r = cut(readings(records, attr_schema))  # read twice: by the links and by the conversion
-    obs = r.filter(F.col("unit_key1").isNotNull() & (F.size("figures") > 0)).select("attr", "family", F.col("unit_key1").alias("unit_key"), F.col("figures")[0].alias("x"))
+    obs = first_figures(r)
     conv = conversions(obs, attr_schema, rounds, min_links)
     side = lambda i: conv.select("attr", F.col("unit_key").alias(f"unit_key{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("view", "scale", "offset", "how")])
     r = r.join(side(1), ["attr", "unit_key1"], "left").join(side(2), ["attr", "unit_key2"], "left")

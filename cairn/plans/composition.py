@@ -103,3 +103,38 @@ class Composer:
         s = lambda c: F.array_join(F.array_sort(c), "|")
         xy, yx = F.array_except("x", "y"), F.array_except("y", "x")
         return own.select(s(F.array_intersect("x", "y")).alias("same"), s(xy).alias("only_a"), s(yx).alias("only_b"), ((F.size("x") > 0) & (F.size(xy) + F.size(yx) == 0)).alias("identical"))
+
+
+def diagnose(composer: Composer, node: dict) -> DataFrame:
+    """R-22: leaf, n: how many entities each constraint of a plan has; an empty one is where it degenerates."""
+    check(node)
+    leaves: list[dict] = []
+
+    def visit(n: dict) -> None:
+        if n["op"] == "constraint":
+            leaves.append(n)
+        for c in [*n.get("args", []), *[n[k] for k in ("arg", "over", "set") if k in n]]:
+            visit(c)
+
+    visit(node)
+    rows = None
+    for n in leaves:
+        row = composer._constraint(n).agg(F.count("*").alias("n")).select(F.lit(f"{n['relation']}={n['value']}").alias("leaf"), "n")
+        rows = row if rows is None else rows.unionByName(row)
+    if rows is None:
+        raise PlanError("a plan without constraints")
+    return rows
+
+
+def run_steps(composer: Composer, steps: list[dict]) -> DataFrame:
+    """R-23: steps with names; "$name" in args stands for an earlier set, a foreach step walks from all of one at once."""
+    done: dict[str, DataFrame] = {}
+    for s in steps:
+        if "foreach" in s:
+            done[s["name"]] = G.walk(composer.triples, done[s["foreach"].lstrip("$")], s["chain"])
+        elif s["op"] in ("intersect", "union", "difference"):
+            f = {"intersect": G.intersect, "union": G.union, "difference": G.difference}[s["op"]]
+            done[s["name"]] = f(*[done[a.lstrip("$")] for a in s["args"]])
+        else:
+            done[s["name"]] = composer.run({k: v for k, v in s.items() if k != "name"})
+    return done[steps[-1]["name"]]

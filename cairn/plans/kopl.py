@@ -217,3 +217,49 @@ class KB:
     def _QueryRelationQualifier(self, a, b, predicate, qkey):
         r = self._between(a, b).filter(F.col("predicate") == predicate)
         return r.agg(F.min_by(F.col("qualifiers")[qkey], F.struct("subject", "object", "fact_id")).alias("value"))
+
+
+# ---- transforms of programs, on the driver (R-17..R-20, R-29)
+def parse(text: str) -> list[dict]:
+    """R-17: "Find(x) → Relate(located in, forward) → Count()" as steps."""
+    steps = []
+    for part in text.split("→"):
+        name, _, rest = part.strip().partition("(")
+        inputs = [x.strip() for x in rest.rstrip(")").split(",")] if rest.rstrip(")").strip() else []
+        steps.append({"function": name.strip(), "inputs": inputs})
+    validate(steps)
+    return steps
+
+
+def serialise(program: list[dict]) -> str:
+    return " → ".join(f"{s['function']}({', '.join(s.get('inputs', []))})" for s in program)
+
+
+def mutations(program: list[dict], values: dict[str, list[str]]) -> list[list[dict]]:
+    """R-19: programs that differ in one argument, taken from what the vocabulary has for the old one."""
+    out = []
+    for i, s in enumerate(program):
+        for k, old in enumerate(s.get("inputs", [])):
+            for new in values.get(old, []):
+                if new != old:
+                    inputs = [*s["inputs"][:k], new, *s["inputs"][k + 1 :]]
+                    out.append([*program[:i], {"function": s["function"], "inputs": inputs}, *program[i + 1 :]])
+    return out
+
+
+def repaired(program: list[dict], known: set[str], likeness) -> list[dict]:
+    """R-20: the first argument the schema does not know becomes the known one most like it; the rest stays."""
+    for i, s in enumerate(program):
+        for k, old in enumerate(s.get("inputs", [])):
+            if s["function"] not in ("Find", "FilterNum", "FilterYear", "FilterDate") and old not in known and known:
+                new = max(sorted(known), key=lambda x: likeness(old, x))
+                return [*program[:i], {"function": s["function"], "inputs": [*s["inputs"][:k], new, *s["inputs"][k + 1 :]]}, *program[i + 1 :]]
+    return program
+
+
+def flat_arguments(program: list[dict]) -> dict[str, list[str]]:
+    """R-29: the arguments by function."""
+    out: dict[str, list[str]] = {}
+    for s in program:
+        out.setdefault(s["function"], []).extend(s.get("inputs", []))
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cairn.operators import unit_harmoniser, wide_table
 from cairn.session import table
 
@@ -18,8 +16,7 @@ def p1_readings(spark, d):
 
 def p1_conversions(spark, d):
     r = unit_harmoniser.readings(table(spark, d, "typed_records"), table(spark, d, "attr_schema"))
-    obs = r.filter(F.col("unit_key1").isNotNull() & (F.size("figures") > 0)).select("attr", "family", F.col("unit_key1").alias("unit_key"), F.col("figures")[0].alias("x"))
-    return unit_harmoniser.conversions(obs, table(spark, d, "attr_schema"))
+    return unit_harmoniser.conversions(unit_harmoniser.first_figures(r), table(spark, d, "attr_schema"))
 
 
 def p3_found(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-TRIPLE = T.StructType.fromDDL("head string, head_type string, relation string, tail string, tail_type string, confidence double, evidence string, source string")
+TRIPLE = T.StructType([T.StructField(c, T.DoubleType() if c == "confidence" else T.StringType()) for c in ("head", "head_type", "relation", "tail", "tail_type", "confidence", "evidence", "source")])
 
 
 def extraction_results(spark: SparkSession, path: str) -> DataFrame:
