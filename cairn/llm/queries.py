@@ -18,6 +18,10 @@ def p4_found(spark, d):
     return scan_repair.found(table(spark, d, "radar_corpus"))
 
 
+def p4_repaired(spark, d):
+    return scan_repair.repaired(table(spark, d, "radar_corpus"))
+
+
 def p5_found(spark, d):
     return text_split.found(table(spark, d, "radar_corpus"), table(spark, d, "chunks"))
 
@@ -56,6 +60,9 @@ def p8_shares(spark, d):
 
 QUERIES = {
     "p6_found": p6_found, "p7_ids": p7_ids, "p7_totals": p7_totals, "p8_mix": p8_mix, "p8_shares": p8_shares,
-    "p5_found": p5_found, "p5_pieces": p5_pieces, "p9_found": p9_found, "p9_shares": p9_shares, "p4_found": p4_found, "p2_found": p2_found, "p2_report": p2_report,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p9_found": p9_found, "p9_shares": p9_shares, "p4_found": p4_found, "p4_repaired": p4_repaired, "p2_found": p2_found, "p2_report": p2_report,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """WITH x AS (SELECT id AS item_id, raw_text_en AS t FROM radar_corpus UNION SELECT c.chunk_id, c.text FROM chunks, unnest(chunks) AS u(c))
+ SELECT item_id, CASE WHEN bool_or(list_max([length(r) FOR r IN regexp_split_to_array(t, '[\\s.!?。！？]')]) > 2500) THEN 'forced' ELSE 'natural' END AS cut_kind FROM x WHERE length(t) > 2500 AND item_id IS NOT NULL GROUP BY 1""",
+}

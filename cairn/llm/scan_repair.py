@@ -229,10 +229,10 @@ _FRONT = re.compile(r"^\s*([^\s]+?)(?=[\s.,;:!?)\]]|-|$)")
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per line: kind, the line without the parts of a divided word, and those parts."""
-    columns = ["id", "line_no", "kind", "clean", "text", "rest", "left", "right", "mark", "line2"]
+    columns = ["id", "h", "line_no", "kind", "clean", "text", "rest", "left", "right", "mark", "line2"]
     for pdf in batches:
         rows = []
-        for id_, text, title in zip(pdf["id"], pdf["text"], pdf["title"]):
+        for id_, h, text, title in zip(pdf["id"], pdf["h"], pdf["text"], pdf["title"]):
             kinds = line_kinds(text, title)
             lines = text.split("\n")
             clean = is_clean(lines)
@@ -250,20 +250,20 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rest[b] = rest[b][f.end() :]
             for i, k in enumerate(kinds):
                 if k != "blank":
-                    rows.append((id_, i + 1, k, clean, lines[i], rest[i] if k in ("body", "maybe", "heading", "title") else "", *extra[i]))
+                    rows.append((id_, h, i + 1, k, clean, lines[i], rest[i] if k in ("body", "maybe", "heading", "title") else "", *extra[i]))
             if len(rows) > 20000:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
         yield pd.DataFrame(rows, columns=columns)
 
 
-_LINES = "id string, line_no int, kind string, clean boolean, text string, rest string, left string, right string, mark string, line2 int"
+_LINES = "id string, h long, line_no int, kind string, clean boolean, text string, rest string, left string, right string, mark string, line2 int"
 _TOKEN = r"[\p{L}\p{M}\p{N}@$|!]*\p{L}[\p{L}\p{M}\p{N}@$|!]*"
 
 
 def lines(corpus: DataFrame) -> DataFrame:
     d = corpus.select("id", F.col("raw_text_en").alias("text"), F.col("en_title").alias("title")).filter(F.col("text").isNotNull() & F.col("id").isNotNull() & (F.trim("text") != ""))
-    return d.groupBy("id", "text").agg(F.max("title").alias("title")).mapInPandas(_lines, _LINES)
+    return d.groupBy("id", "text").agg(F.max("title").alias("title")).withColumn("h", F.xxhash64("text")).mapInPandas(_lines, _LINES)
 
 
 def _bare(c):
@@ -326,7 +326,7 @@ def judged(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     li = li.withColumn("kind", F.when(F.col("kind") == "maybe", F.when(F.col("n").isNotNull(), "header").otherwise("body")).otherwise(F.col("kind")))
     li = li.withColumn("rest", F.when(F.col("kind") == "header", "").otherwise(F.col("rest"))).drop("head", "n")
     words = li.select("clean", F.explode(F.regexp_extract_all("rest", F.lit(_TOKEN), 0)).alias("w")).select(F.lower("w").alias("word"), "clean")
-    split = li.filter(F.col("left").isNotNull()).select("id", "line_no", "line2", "mark", "clean", _bare(_last_part(F.col("left"))).alias("l"), _bare(F.col("right")).alias("r"))
+    split = li.filter(F.col("left").isNotNull()).select("id", "h", "line_no", "line2", "mark", "clean", _bare(_last_part(F.col("left"))).alias("l"), _bare(F.col("right")).alias("r"))
     split = split.filter((F.length("l") > 0) & (F.length("r") > 0)).withColumn("word", F.concat("l", "r"))
     counted = words.unionByName(split.select("word", "clean")).groupBy("word").agg(F.count("*").alias("n"), F.count_if("clean").alias("n_clean"))
     counted = cut(counted)
@@ -357,3 +357,55 @@ def found(corpus: DataFrame) -> DataFrame:
     parts = parts.select("id", "line_no", F.col("l").alias("bad")).unionByName(parts.select("id", F.col("line2").alias("line_no"), F.col("r").alias("bad")))
     misread = inline.unionByName(across).unionByName(parts.join(fix, "bad", "left_semi").select("id", "line_no")).select("id", "line_no", F.lit("misread").alias("defect"))
     return edge.unionByName(hyphen).unionByName(misread).distinct()
+
+
+def _cased(good: str, like: str) -> str:
+    return good.upper() if like.isupper() and len(like) > 1 else good.capitalize() if like[:1].isupper() else good
+
+
+def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paragraphs of each document from its judged lines."""
+    token = re.compile(r"[^\W_]*[^\W\d_][^\W_]*|[\w@$|!]+")
+    for pdf in batches:
+        rows = []
+        for id_, lines_ in zip(pdf["id"], pdf["lines"]):
+            out: list[str] = []
+            open_, before, carry = "", None, ""
+            for x in sorted(lines_, key=lambda x: x["line_no"]):
+                fixes = dict(x["fixes"] or {})
+                if x["kind"] in ("header", "page_number"):
+                    continue
+                text = x["rest"] if x["kind"] in ("body", "heading", "title") else x["text"]
+                text = token.sub(lambda m: _cased(fixes[m[0].lower()], m[0]) if m[0].lower() in fixes else m[0], text).replace("ﬁ", "fi").replace("ﬂ", "fl").strip()
+                gap = before is not None and x["line_no"] > before + 1
+                ended = open_.rstrip()[-1:] in tuple(".!?:")
+                if open_ and not carry and (x["kind"] != "body" or (gap and ended)):
+                    out.append(open_)
+                    open_ = ""
+                open_ = f"{open_}{carry}{'' if carry and text[:1] in tuple('.,;:!?)') else ' '}{text}".strip() if open_ or carry else text
+                carry = ""
+                if x["left"] is not None:
+                    whole = x["left"] + x["right"] if x["divided"] else f"{x['left']}-{x['right']}"
+                    if x["divided"] and x["good"] is not None:
+                        whole = whole[: len(x["left"]) - len(x["l"])] + _cased(x["good"], x["left"][-len(x["l"]) :]) + whole[len(x["left"]) - len(x["l"]) + len(x["word"]) :]
+                    carry = " " + whole if open_ else whole
+                elif x["kind"] != "body":
+                    out.append(open_)
+                    open_ = ""
+                before = x["line_no"]
+            if open_ or carry:
+                out.append((open_ + carry).strip())
+            rows.append((id_, "\n\n".join(p for p in out if p)))
+        yield pd.DataFrame(rows, columns=["id", "text"])
+
+
+def repaired(corpus: DataFrame) -> DataFrame:
+    """id, text: continuous paragraphs, without headers and page numbers, words joined and corrected."""
+    li, s, fix = judged(corpus)
+    key = ["id", "h", "line_no"]
+    tokens = li.filter(~F.col("clean") & (F.col("kind") == "body")).select(*key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all("rest", F.lit(_TOKEN), 0), F.lower))).alias("bad"))
+    fixes = tokens.join(fix.select("bad", "good"), "bad").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("fixes"))
+    parts = s.select(*key, "divided", "good", "l", "word")
+    j = li.join(fixes, key, "left").join(parts, key, "left")
+    one = F.struct("line_no", "kind", "text", "rest", "left", "right", "fixes", F.coalesce("divided", F.lit(False)).alias("divided"), "good", "l", "word")
+    return j.groupBy("id", "h").agg(F.collect_list(one).alias("lines")).select("id", "lines").mapInPandas(_assembled, "id string, text string")  # a document's own lines
