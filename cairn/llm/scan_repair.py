@@ -223,10 +223,18 @@ def _loose_numbers(loose, kinds, stripped, full, width) -> None:
 
 
 _WORD = r"[^\W_]"
-_TAIL = re.compile(rf"([^\s{_HYPHENS}]+(?:-[^\s{_HYPHENS}]+)*)[{_HYPHENS}]\s*$")
 _FRONT = re.compile(r"^\s*([^\s]+?)(?=[\s.,;:!?)\]]|-|$)")
 
 
+def _tail(line: str) -> tuple[int, str, str] | None:
+    """(start, word, hyphen) of a word that the end of the line divides."""
+    s = line.rstrip()
+    if not s or s[-1] not in _HYPHENS:
+        return None
+    word = s.split()[-1] if len(s) < 400 else s[-400:].split()[-1]
+    return (len(s) - len(word), word[:-1], s[-1]) if len(word) > 1 and word[-2] not in _HYPHENS and len(word) < 400 else None
+
+
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per line: kind, the line without the parts of a divided word, and those parts."""
     columns = ["id", "h", "line_no", "kind", "clean", "text", "rest", "left", "right", "mark", "line2"]
@@ -238,15 +246,14 @@ def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clean = is_clean(lines)
             rest = list(lines)
             extra = [(None, None, None, 0)] * len(lines)
-            cut_off = lambda i: i > 0 and kinds[i] == "maybe" and _TAIL.search(lines[i - 1]) is not None
+            cut_off = lambda i: i > 0 and kinds[i] == "maybe" and _tail(lines[i - 1]) is not None
             body = [i for i, k in enumerate(kinds) if k == "body" or k == "maybe" and not cut_off(i)]
             for a, b in zip(body, body[1:]):
-                m = _TAIL.search(rest[a])
-                f = _FRONT.match(rest[b])
+                m = _tail(rest[a])
+                f = _FRONT.match(rest[b]) if m else None
                 if m and f and m[1][-1].isalpha() and (f[1][0].isalpha() or not f[1][0].isdigit()) and (b - a <= 2 or all(k != "heading" for k in kinds[a:b])):
-                    whole = m[0].rstrip()
-                    extra[a] = (m[1], f[1], whole[-1], b + 1)
-                    rest[a] = rest[a][: m.start()]
+                    extra[a] = (m[1], f[1], m[2], b + 1)
+                    rest[a] = rest[a][: m[0]]
                     rest[b] = rest[b][f.end() :]
             for i, k in enumerate(kinds):
                 if k != "blank":

@@ -24,11 +24,10 @@ from cairn.session import cut
 # Function words and characters.
 EN_FUNCTION = "the of and is a an in to with at for by was were be been that which as on from it its has have had not but or if when after before because although since than then this these are can may must should will no both each more most also while during whose where they their there into over under between whereas both nor so he she we you i do does did how what why who only about near".split()
 ZH_FUNCTION = "的了在与和后并为是把被将从对于而不也都已可应会能使其该此但及或由以即则才又再只若如因所至"
-_EN = "|".join(EN_FUNCTION)
 _URL = r"(?i)(?:https?://|www\.)[^\s)\"'<>\]]+"
 # a list of addresses under this heading belongs to the prose that cites them
 _REFERENCES = r"(?im)^\s*(?:references|bibliography|sources|see also|further reading|参考|参考资料|参考文献|来源)\s*[:：]?\s*$"
-_HAN = r"[\x{3400}-\x{9fff}]"
+_NOT_HAN = r"[^\x{3400}-\x{9fff}]+"
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -41,24 +40,28 @@ def segments(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "cites", F.explode(seg).alias("seg")).withColumn("seg", F.trim("seg")).filter(F.length("seg") > 0)
 
 
+def _once(df: DataFrame, **columns) -> DataFrame:
+    """Adds columns that later expressions read by name; behind a generator they are not written out again in each of them."""
+    own = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*df.columns, F.explode(F.array(own)).alias("_c")).select(*df.columns, "_c.*")
+
+
 def features(segs: DataFrame) -> DataFrame:
     s = segs.withColumn("n", F.length("seg"))
-    s = s.withColumn("bare", F.trim(F.regexp_replace(F.regexp_replace("seg", _URL, " "), r"(?i)</?[a-z][^>]*>|[\[\]()<>•»·]", " ")))
-    s = s.withColumn("links", F.regexp_count("seg", F.lit(_URL))).withColumn("tags", F.regexp_count("seg", F.lit(r"(?:^|\s)#\w")))
-    han = F.length(F.regexp_replace("bare", rf"(?:(?!{_HAN}).)+", ""))
-    s = s.withColumn("han", han)
-    words = F.filter(F.split(F.lower("bare"), r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
-    chars = F.split(F.regexp_replace("bare", rf"(?:(?!{_HAN}).)+", ""), "")
-    s = s.withColumn("zh", F.col("han") * 3 > F.length("bare"))
-    s = s.withColumn("w", F.when(F.col("zh"), F.filter(chars, lambda c: c != "")).otherwise(words))
+    bare = F.trim(F.regexp_replace(F.regexp_replace("seg", _URL, " "), r"(?i)</?[a-z][^>]*>|[\[\]()<>•»·]", " "))
+    s = _once(s, bare=bare, links=F.regexp_count("seg", F.lit(_URL)), tags=F.regexp_count("seg", F.lit(r"(?:^|\s)#\w")))
+    s = _once(s, low=F.lower("bare"), hans=F.regexp_replace("bare", _NOT_HAN, ""))
+    zh = F.length("hans") * 3 > F.length("bare")
+    words = F.filter(F.split("low", r"[^\p{L}\p{N}'’-]+"), lambda w: w != "")
+    s = _once(s, zh=zh, w=F.when(zh, F.filter(F.split("hans", ""), lambda c: c != "")).otherwise(words))
     s = s.withColumn("nw", F.size("w"))
-    fw = F.when(F.col("zh"), F.regexp_count("bare", F.lit(f"[{ZH_FUNCTION}]"))).otherwise(F.regexp_count(F.lower("bare"), F.lit(rf"(?<![\p{{L}}'-])(?:{_EN})(?![\p{{L}}'-])")))
+    fw = F.when(F.col("zh"), F.regexp_count("bare", F.lit(f"[{ZH_FUNCTION}]"))).otherwise(F.size(F.filter("w", lambda x: x.isin(*EN_FUNCTION))))
     s = s.withColumn("fw", fw / F.greatest("nw", F.lit(1)))
     # grams that repeat within the segment: 4 characters of Chinese, 2 words otherwise
     two = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.col("nw") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.col("nw") - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    s = s.withColumn("two", F.when(F.col("nw") >= 6, two))
+    s = _once(s, two=F.when(F.col("nw") >= 6, two))
     four = F.zip_with(F.slice("two", F.lit(1), F.col("nw") - 3), F.slice("two", F.lit(3), F.col("nw") - 3), lambda x, y: F.concat(x, y))
-    s = s.withColumn("grams", F.when(F.col("zh"), four).otherwise(F.col("two")))
+    s = _once(s, grams=F.when(F.col("zh"), four).otherwise(F.col("two")))
     s = s.withColumn("again", F.coalesce(1 - F.size(F.array_distinct("grams")) / F.when(F.size("grams") > 0, F.size("grams")), F.lit(0.0)))
     s = s.withColumn("seps", F.regexp_count("bare", F.lit(r"\s[>|/»–-]\s|[,;、，；|](?:\s|(?=\S))|(?:^|\s)#")))
     s = s.withColumn("menu", F.regexp_count("seg", F.lit(r"\s[|>»]\s")) >= 2)
