@@ -65,12 +65,12 @@ program("a03_count", "SELECT count(DISTINCT s_nationkey) AS value FROM supplier"
 program("w08_select_among", "SELECT max_by(c_name, c_acctbal) AS value FROM customer WHERE c_nationkey = 7", S("Find", "NATION_7"), S("Relate", "citizen of", "backward"), S("SelectAmong", "balance", "largest"))
 program("w08_select_between", "SELECT min_by(s_name, s_acctbal) AS value FROM supplier WHERE s_suppkey IN (1, 2)", S("Find", "Supplier#000000001"), S("Find", "Supplier#000000002"), S("SelectBetween", "balance", "less"))
 program("k02_query_attr", "SELECT CASE WHEN s_acctbal = floor(s_acctbal) THEN CAST(CAST(s_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(s_acctbal AS VARCHAR) END || ' USD' AS value FROM supplier WHERE s_suppkey = 2", S("Find", "Supplier#000000002"), S("QueryAttr", "balance"))
-program("k03_query_attr_condition", "SELECT CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END || ' USD' AS value FROM customer WHERE c_custkey = 1 AND c_mktsegment = 'MACHINERY'", S("Find", "Customer#000000001"), S("QueryAttrUnderCondition", "balance", "segment", "MACHINERY"))
+program("k03_query_attr_condition", "SELECT max(CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END || ' USD') AS value FROM customer WHERE c_custkey = 1 AND c_mktsegment = 'MACHINERY'", S("Find", "Customer#000000001"), S("QueryAttrUnderCondition", "balance", "segment", "MACHINERY"))
 program("k04_verify_num", "SELECT CASE WHEN s_acctbal > 1000 THEN 'yes' ELSE 'no' END AS value FROM supplier WHERE s_suppkey = 2", S("Find", "Supplier#000000002"), S("QueryAttr", "balance"), S("VerifyNum", "1000 USD", ">"))
 program("k04_verify_str", "SELECT CASE WHEN n_regionkey = 3 THEN 'yes' ELSE 'no' END AS value FROM nation WHERE n_nationkey = 8", S("Find", "NATION_8"), S("QueryAttr", "region"), S("VerifyStr", "3"))
 program("k04_verify_year", "SELECT CASE WHEN 1900 + s_suppkey % 100 = 1904 THEN 'yes' ELSE 'no' END AS value FROM supplier WHERE s_suppkey = 4", S("Find", "Supplier#000000004"), S("Find", "Supplier#000000004"), S("Relate", "located in", "forward"), S("QueryRelationQualifier", "located in", "since"), S("VerifyYear", "1904", "="))
 program("k04_verify_date", "SELECT CASE WHEN strftime(o_orderdate, '%Y-%m-%d') > '1995-01-01' THEN 'yes' ELSE 'no' END AS value FROM orders WHERE o_custkey = 1 ORDER BY 'o' || o_orderkey LIMIT 1", S("Find", "Customer#000000001"), S("QueryAttr", "ordered"), S("VerifyDate", "1995-01-01", ">"))
-program("k05_attr_qualifier", "SELECT c_mktsegment AS value FROM customer WHERE c_custkey = 1", S("Find", "Customer#000000001"), S("QueryAttrQualifier", "balance", "2547.4 USD", "segment"))
+program("k05_attr_qualifier", "SELECT max(c_mktsegment) AS value FROM customer WHERE c_custkey = 1 AND c_acctbal = 2547.4", S("Find", "Customer#000000001"), S("QueryAttrQualifier", "balance", "2547.4 USD", "segment"))
 program("k06_relation_qualifier", "SELECT '19' || lpad(CAST(s_suppkey % 100 AS VARCHAR), 2, '0') AS value FROM supplier WHERE s_suppkey = 4", S("Find", "Supplier#000000004"), S("Find", "Supplier#000000004"), S("Relate", "located in", "forward"), S("QueryRelationQualifier", "located in", "since"))
 
 
@@ -166,7 +166,7 @@ def _(spark, d):
     return P.project(P.scan(readings(spark, d).filter("attribute is not null")), {"attribute": "attribute"}).select("attribute", F.size(F.col("evidence")["attribute"]).cast("long").alias("n"))
 
 
-@q("r26_assess_same", f"{BASE} SELECT 'established' AS status, count(DISTINCT typed_value.value) <= 1 AS all_equal FROM t WHERE attribute = 'channel_count' AND family_id = 'veltor_meridian900' AND typed_value.kind = 'number' AND typed_value.unit IS NULL")
+@q("r26_assess_same", f"{BASE} SELECT CASE WHEN count(*) = 0 THEN 'not_established' ELSE 'established' END AS status, CASE WHEN count(*) > 0 THEN count(DISTINCT typed_value.value) <= 1 END AS all_equal FROM t WHERE attribute = 'channel_count' AND family_id = 'veltor_meridian900' AND typed_value.kind = 'number' AND typed_value.unit IS NULL")
 def _(spark, d):
     s = P.scan(readings(spark, d), families=["veltor_meridian900"], attributes=["channel_count"]).filter("typed_value.kind = 'number' AND typed_value.unit IS NULL")
     return P.assess_same_value(s, "typed_value")
