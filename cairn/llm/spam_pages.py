@@ -66,7 +66,7 @@ def features(segs: DataFrame) -> DataFrame:
     s = s.withColumn("seps", F.regexp_count("bare", F.lit(r"\s[>|/»–-]\s|[,;、，；|](?:\s|(?=\S))|(?:^|\s)#")))
     s = s.withColumn("menu", F.regexp_count("seg", F.lit(r"\s[|>»]\s")) >= 2)
     s = s.withColumn("ends", F.col("seg").rlike(r"[.!?。！？:：][\"'”’)\]]?$"))
-    s = s.withColumn("pairs", F.col("seg").rlike(r"^[^:：—|]{1,40}?\s*[:：]\s*\S|^[^—]{1,40}\s—\s") & ~F.col("seg").rlike(r"(?i)^(?:tags?|keywords?|labels?|标签|关键词|关键字)\s*[:：]"))
+    s = s.withColumn("pairs", F.col("seg").rlike(r"^(?:[^:：—|]{1,40}+[:：]\s*+\S|[^—]{1,40}+—\s)") & ~F.col("seg").rlike(r"(?i)^(?:tags?|keywords?|labels?|标签|关键词|关键字)\s*[:：]"))
     hexes = F.length(F.regexp_replace("bare", r"(?:^|[\s|,])(?=[0-9A-F]*\d)[0-9A-F]+(?=$|[\s|,])|[0-9A-F]{8,}|\|", ""))
     s = s.withColumn("data", hexes * 2 < F.length("bare")).withColumn("figures", F.regexp_count("bare", F.lit(r"\d")) * 3 > F.length("bare"))
     s = s.withColumn("named", F.col("seg").rlike(r"(?i)^(?:tags?|keywords?|labels?|标签|关键词|关键字)\s*[:：]"))
