@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from cairn.session import cut
+
 
 def filtered_ranks(scores: DataFrame, known: DataFrame) -> DataFrame:
     """query, target, rank: candidates that score at least the target's, other true ones left out.
@@ -34,16 +36,38 @@ def ndcg(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("query").agg((gain / ideal).alias("ndcg"))
 
 
-def risk_coverage(preds: DataFrame) -> DataFrame:
-    """coverage, risk, area: risk among the most confident, and the trapezoid up to each point. preds: id, conf, correct.
+def ordered(df: DataFrame, *order: str, totals: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _row (1, 2, ... over all rows in the order), _cum_<c> for totals and _prev_<c> for lasts, without one task holding all rows.
 
-    The order over all predictions is one global sort key; ties go by id.
+    Rows are range-partitioned by the order and numbered within their partition; what lies before each partition comes
+    from a table with one row per partition. The order must be total.
     """
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("conf"), "id")
-    n = F.count("*").over(W.partitionBy(F.lit(0)))
-    c = preds.select("id", "conf", (F.row_number().over(w) / n).alias("coverage"), (F.sum((~F.col("correct")).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)) / F.row_number().over(w)).alias("risk"))
-    lag = lambda x: F.lag(x).over(W.partitionBy(F.lit(0)).orderBy("coverage"))
-    return c.withColumn("area", F.coalesce((F.col("coverage") - lag("coverage")) * (F.col("risk") + lag("risk")) / 2, F.lit(0.0)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = cut(df.repartitionByRange(parts, *order).withColumn("_b", F.spark_partition_id()))
+    w = W.partitionBy("_b").orderBy(*order)
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    key = F.struct(*order)
+    sizes = b.groupBy("_b").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in totals], *[F.max_by(F.struct(c), key).alias(f"_l_{c}") for c in lasts])
+    before = W.partitionBy(F.lit(0)).orderBy("_b")  # one row per partition
+    sizes = sizes.select(
+        "_b", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), *[(F.sum(f"_s_{c}").over(before) - F.col(f"_s_{c}")).alias(f"_s_{c}") for c in totals], *[F.lag(f"_l_{c}").over(before).alias(f"_l_{c}") for c in lasts]
+    )
+    out = b.join(F.broadcast(sizes), "_b").withColumn("_in", F.row_number().over(w))  # as many rows as partitions
+    out = out.withColumn("_row", F.col("_in") + F.col("_before"))
+    for c in totals:
+        out = out.withColumn(f"_cum_{c}", F.sum(c).over(so_far) + F.coalesce(f"_s_{c}", F.lit(0)))
+    for c in lasts:
+        out = out.withColumn(f"_prev_{c}", F.when(F.col("_in") > 1, F.lag(c).over(w)).otherwise(F.col(f"_l_{c}")[c]))
+    return out.drop("_b", "_before", "_in", *[f"_s_{c}" for c in totals], *[f"_l_{c}" for c in lasts])
+
+
+def risk_coverage(preds: DataFrame) -> DataFrame:
+    """id, conf, coverage, risk, area: risk among the most confident, and the trapezoid up to each point. preds: id, conf, correct; ties go by id."""
+    p = preds.select("id", "conf", (-F.col("conf")).alias("_c"), (~F.col("correct")).cast("int").alias("wrong"))
+    o = ordered(p, "_c", "id", totals=("wrong",)).crossJoin(F.broadcast(p.agg(F.count("*").alias("_all"))))  # one row
+    k, n, x = F.col("_row"), F.col("_all"), F.col("_cum_wrong")
+    before = (x - F.col("wrong")) / (k - 1)
+    return o.select("id", "conf", (k / n).alias("coverage"), (x / k).alias("risk"), F.when(k > 1, (1 / n) * (x / k + before) / 2).otherwise(0.0).alias("area"))
 
 
 def z_scores(df: DataFrame, value: str) -> DataFrame:
@@ -53,11 +77,12 @@ def z_scores(df: DataFrame, value: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     """The q-quantile xs[min(n - 1, int(q * n))] by rank, not by interpolation."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(value)
-    n = F.count("*").over(W.partitionBy(*(by or [F.lit(0)])))
-    r = df.filter(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", n)
-    at = F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-    return r.filter(F.col("_r") == at).select(*by, F.col(value).alias("quantile"))
+    r = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("quantile"), F.monotonically_increasing_id().alias("_t"))
+    o = ordered(r, *by, "quantile", "_t")
+    g = o.groupBy(*by).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")) if by else o.agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    at = F.col("_first") + F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    wanted = g.select(at.alias("_row"))
+    return o.join(wanted, "_row").select(*by, "quantile")
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -113,14 +138,13 @@ def stratified(df: DataFrame, stratum: str, id_: str, n: int, seed: int = 1) ->
 
 
 def runs(df: DataFrame, order: str, *values: str) -> DataFrame:
-    """Adjacent equal rows as runs: first and last place and length."""
-    w = W.partitionBy(F.lit(0)).orderBy(order)
-    same = F.lit(True)
+    """Adjacent equal rows as runs: first and last place and length. order: a unique column."""
+    o = ordered(df.select(order, *values), order, lasts=values)
+    same = F.col("_row") > 1
     for v in values:
-        same = same & F.lag(v).over(w).eqNullSafe(F.col(v))
-    g = df.withColumn("_new", F.when(same & F.lag(F.lit(1)).over(w).isNotNull(), 0).otherwise(1))
-    g = g.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return g.groupBy("_run", *values).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
+        same = same & F.col(f"_prev_{v}").eqNullSafe(F.col(v))
+    g = ordered(o.select(order, *values, F.when(same, 0).otherwise(1).alias("_new")), order, totals=("_new",))
+    return g.groupBy("_cum__new", *values).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_cum__new")
 
 
 def first_divergence(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -13,15 +13,15 @@ from cairn.session import cut
 
 
 # ---- merging
-def keep_best(t: DataFrame, keys: Sequence[Column], order: Sequence[Column]) -> DataFrame:
-    """One row per key, the first in the given order."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return t.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
+def keep_best(t: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key, the smallest by the given values; a partial aggregate, so a key with many rows is never one task's sort."""
+    best = t.groupBy(*keys).agg(F.min_by(F.struct(*t.columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_b"))
+    return best.select("_b.*")
 
 
 def merge_preferring(t: DataFrame, preferred: str) -> DataFrame:
     """Per (head, relation, tail): the preferred source's row, then the more confident, then the first source by name."""
-    return keep_best(t, [F.col("head"), F.col("relation"), F.col("tail")], [F.desc(F.col("source") == preferred), F.desc_nulls_last("confidence"), F.asc("source")])
+    return keep_best(t, ["head", "relation", "tail"], [~F.coalesce(F.col("source") == preferred, F.lit(False)), F.coalesce(-F.col("confidence"), F.lit(float("inf"))), F.coalesce("source", F.lit(""))])
 
 
 def fuse(t: DataFrame, tiers: dict[str, int]) -> DataFrame:
@@ -43,9 +43,9 @@ def majority(products: DataFrame, least: int = 2, share: float = 0.6) -> DataFra
     """maker, country, n: the country most of a maker's products have. products: maker, product, country (a product counts once)."""
     one = products.groupBy("maker", "product").agg(F.min("country").alias("country"))
     g = one.groupBy("maker", "country").agg(F.count("*").alias("n"))
-    w = W.partitionBy("maker")
-    g = g.withColumn("all", F.sum("n").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc("n"), "country")))
-    return g.filter((F.col("_k") == 1) & (F.col("all") >= least) & (F.col("n") >= share * F.col("all"))).select("maker", "country", "n", "all")
+    best = g.groupBy("maker").agg(F.min_by(F.struct("country", "n"), F.struct(-F.col("n"), F.col("country"))).alias("b"), F.sum("n").alias("all"))
+    best = best.select("maker", "b.country", "b.n", "all")
+    return best.filter((F.col("all") >= least) & (F.col("n") >= share * F.col("all")))
 
 
 def merge_entities(e: DataFrame, key: Column) -> DataFrame:

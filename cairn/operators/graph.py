@@ -101,7 +101,8 @@ def constrained_join(t: DataFrame, constraints: Sequence[tuple[str, str]], alias
 def complement(t: DataFrame, head: str, relation: str, value: str) -> DataFrame:
     """The known tails of a head with a flag whether each is the value, and whether the value is among them."""
     known = tails_of(t, head, relation)
-    return known.withColumn("is_value", F.col("entity") == value).withColumn("value_known", F.max("is_value").over(W.partitionBy()))
+    own = known.withColumn("is_value", F.col("entity") == value)
+    return own.crossJoin(F.broadcast(own.agg(F.max("is_value").alias("value_known"))))  # one row
 
 
 def dual(t: DataFrame, a: str, b: str) -> DataFrame:

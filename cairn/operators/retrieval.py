@@ -9,21 +9,22 @@ from pyspark.sql.window import Window as W
 from cairn.functions import text as T
 
 
-def postings(docs: DataFrame, id_: str, words: Column) -> DataFrame:
-    """doc, term, tf, len: one row per document and word."""
-    w = docs.select(F.col(id_).alias("doc"), words.alias("w")).filter("doc is not null and w is not null").withColumn("len", F.size("w"))
-    return w.select("doc", "len", F.explode("w").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+def worded(docs: DataFrame, id_: str, words: Column) -> DataFrame:
+    """doc, w, len: the words of each document; documents without words are left out."""
+    w = docs.select(F.col(id_).alias("doc"), words.alias("w")).filter("doc is not null and w is not null")
+    return w.withColumn("len", F.size("w")).filter("len > 0")
 
 
-def bm25(posts: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, doc, score > 0. queries: query, term (distinct).
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, doc, score > 0. docs: worded(); queries: query, term (distinct).
 
-    Counts and lengths cover all documents; only postings of the queries' terms are scored.
+    Counts and lengths cover all documents; only occurrences of the queries' words are shuffled.
     """
-    docs = posts.select("doc", "len").distinct()
     whole = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.select("query", "term").distinct()
+    posts = docs.select("doc", "len", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    posts = posts.groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
     hit = posts.join(q, "term").join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))

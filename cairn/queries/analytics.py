@@ -31,7 +31,7 @@ def _asked(spark):
 
 
 def _bm25(spark, d):
-    return R.bm25(R.postings(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text"))), _asked(spark))
+    return R.bm25(R.worded(table(spark, d, "documents"), "doc_id", T.tokens(F.col("text"))), _asked(spark))
 
 
 @q("x23_bm25", BM25 + " SELECT query, count(*) AS n, round(max(score), 4) AS best, round(sum(score), 2) AS total FROM sc WHERE score > 0 GROUP BY 1")

@@ -282,7 +282,7 @@ def _(spark, d):
 @q("a09_dedup_keep_best", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, -o_orderkey)) AS o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")
 def _(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return U.keep_best(o, [F.col("o_custkey")], [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    return U.keep_best(o, ["o_custkey"], [-F.col("o_totalprice"), F.col("o_orderkey")])
 
 
 @q("a10_dedup_max_confidence", "SELECT lower(trim(head)) AS head, relation, lower(trim(tail)) AS tail, max(confidence) AS confidence FROM wikidata_enrich_out GROUP BY 1, 2, 3")
