@@ -156,13 +156,19 @@ def conversions(obs: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_lin
             *[F.when(known, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("view", "scale", "offset")],
             "est_scale", "est_offset", "links", F.when(known, F.col("unit_name")).otherwise(F.col("snap")).alias("snap"),
         )
-        fresh = cut(fresh.to(fields))
-        if fresh.isEmpty():
+        fresh = fresh.to(fields)
+        if layer == 0:  # known names that nothing links join the graph as they are
+            seen = solved.select("attr", "unit_key").unionByName(fresh.select("attr", "unit_key"))
+            alone = named.join(seen, ["attr", "unit_key"], "left_anti")
+            nothing = [F.lit(None).cast(t).alias(c) for c, t in (("est_scale", "double"), ("est_offset", "double"))]
+            fresh = fresh.unionByName(alone.select("attr", "unit_key", "view", "scale", "offset", *nothing, F.lit(0).cast("long").alias("links"), F.col("unit_name").alias("snap")).to(fields))
+        solved = cut(solved.unionByName(fresh))
+        if nodes.join(solved, ["attr", "unit_key"], "left_anti").isEmpty():
             break
-        solved = solved.unionByName(fresh)
     n = named.select("attr", "unit_key", F.col("view").alias("n_view"), F.col("scale").alias("n_scale"), F.col("offset").alias("n_offset"), "unit_name")
     out = nodes.select("attr", "unit_key", "readings").join(solved, ["attr", "unit_key"], "left").join(n, ["attr", "unit_key"], "left")
-    how = F.when(F.col("view").isNotNull() & F.col("n_view").isNotNull(), "linked and named").when(F.col("view").isNotNull(), "linked").when(F.col("n_view").isNotNull(), "named").otherwise("unresolved")
+    linked = F.col("view").isNotNull() & ((F.col("links") > 0) | (F.col("est_scale") == 1.0))
+    how = F.when(linked & F.col("n_view").isNotNull(), "linked and named").when(linked, "linked").when(F.col("n_view").isNotNull(), "named").otherwise("unresolved")
     return out.select(
         "attr", "unit_key", "readings", how.alias("how"),
         *[F.coalesce(c, f"n_{c}").alias(c) for c in ("view", "scale", "offset")],

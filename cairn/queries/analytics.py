@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,7 +9,7 @@ from cairn.functions import text as T
 from cairn.operators import evaluation as E
 from cairn.operators import retrieval as R
 from cairn.queries.registry import Registry
-from cairn.session import cut, table
+from cairn.session import shared_folder, table
 from cairn.sources import driver_graph as D
 from cairn.sources import readers
 from cairn.streaming import events as ST
@@ -354,11 +352,11 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events")
     s = ST.read_events(spark, f"{d}/events*.parquet", e.schema)
-    name = "totals_" + next(tempfile._get_candidate_names())
-    run = ST.running_totals(s).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
-    run.awaitTermination()
-    t = spark.table(name)
-    return cut(t.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total")))
+    out = shared_folder(spark, "totals")
+    writer = ST.running_totals(s).writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).start().awaitTermination()
+    t = spark.read.parquet(out)
+    return t.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
 
 
 # ---- headline relational shapes

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -18,7 +16,7 @@ from cairn.plans import composition as CO
 from cairn.plans import kopl
 from cairn.plans import table_program as P
 from cairn.queries.registry import Registry
-from cairn.session import cut, table
+from cairn.session import cut, shared_folder, table
 from cairn.sources import driver_graph as D
 from cairn.sources import readers
 
@@ -270,38 +268,31 @@ def _(spark, d):
 
 
 # ---- files: written to a shared folder, read back
-def _folder(spark):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-files-")
-    return f"{base.removeprefix('file://')}/files-{next(tempfile._get_candidate_names())}"
-
-
 TRIPLE = {"head": "a", "head_type": "S", "relation": "r", "tail": "b", "tail_type": "T", "confidence": 0.5, "evidence": "e", "source": "s"}
 
 
-def _json(spark, name, value):
-    folder = _folder(spark)
-    os.makedirs(folder)
-    with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
-        json.dump(value, f)
-    return f"{folder}/{name}"
+def _json(spark, value):
+    folder = shared_folder(spark, "json")
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(folder)
+    return folder
 
 
 @q("s01_extraction_results", "SELECT 'r1' AS radar_id, 'a' AS head, 'r' AS relation, 'b' AS tail UNION ALL SELECT 'r1', 'a', 'r', 'c'")
 def _(spark, d):
-    p = _json(spark, "x.json", [{"radar_id": "r1", "title": "t", "triples": [TRIPLE, TRIPLE | {"tail": "c"}]}, {"radar_id": "r2", "title": "u", "triples": []}])
+    p = _json(spark, [{"radar_id": "r1", "title": "t", "triples": [TRIPLE, TRIPLE | {"tail": "c"}]}, {"radar_id": "r2", "title": "u", "triples": []}])
     return cut(readers.extraction_results(spark, p).select("radar_id", "head", "relation", "tail"))
 
 
 @q("s03_any_layout", "SELECT 'a' AS head, 'b' AS tail, 3::BIGINT AS n")
 def _(spark, d):
-    paths = [_json(spark, "a.json", [TRIPLE]), _json(spark, "b.json", [{"triples": [TRIPLE]}]), _json(spark, "c.json", {"g": [TRIPLE]})]
+    paths = [_json(spark, [TRIPLE]), _json(spark, [{"triples": [TRIPLE]}]), _json(spark, {"g": [TRIPLE]})]
     u = readers.any_layout(spark, paths[0]).unionByName(readers.any_layout(spark, paths[1])).unionByName(readers.any_layout(spark, paths[2]))
     return cut(u.groupBy("head", "tail").agg(F.count("*").alias("n")))
 
 
 @q("s04_graph_sink", f"WITH {K} SELECT relation, count(*) AS n FROM kg GROUP BY 1")
 def _(spark, d):
-    t, folder = D.triples(spark, d), _folder(spark)
+    t, folder = D.triples(spark, d), shared_folder(spark, "graph")
     readers.write_graph(table(spark, d, "nation"), t, folder)
     return spark.read.parquet(f"{folder}/edges").groupBy("relation").agg(F.count("*").alias("n"))
 
@@ -313,7 +304,7 @@ def _(spark, d):
 
 @q("s07_strict_csv", "SELECT r_regionkey, r_name FROM region")
 def _(spark, d):
-    folder = _folder(spark)
+    folder = shared_folder(spark, "csv")
     table(spark, d, "region").write.csv(folder, header=True)
     return readers.strict_csv(spark, folder, T_.StructType.fromDDL("r_regionkey int, r_name string"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return df.checkpoint(eager)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share; in a folder of our own only where none is set (tests, local mode)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-files-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
