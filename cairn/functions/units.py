@@ -5,7 +5,9 @@ Everything here is a Column expression, so parsing stays in generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Known units. (name, dimension, view, scale, offset): the number in the
@@ -60,17 +62,24 @@ _CASED = {"mW", "MW", "K", "mV", "MV", "GW"}
 _SCALES = {"h@": 1e2, "k@": 1e3, "m@": 1e6}
 
 
-def known_conversions(spark: SparkSession) -> DataFrame:
-    """unit_key, dimension, view, scale, offset: every known name of a unit.
-
-    A few hundred rows by construction, so joins with it may broadcast.
-    """
+def known_names() -> list[tuple[str, str, str, float, float, str]]:
+    """(unit_key, dimension, view, scale, offset, unit_name) of every known name of a unit: under 300 rows by construction."""
     rows = []
     for name, dim, view, scale, offset in KNOWN_UNITS:
         words, *phrases = SPELLINGS.get(name, "" if name in _CASED else f"|{name.lower()}").split("|")
-        keys = {name.replace("µ", "μ"), *words.split(), *phrases}
+        keys = {name.replace("µ", "μ"), *words.split(), *phrases} - {""}
         rows += [(k, dim, view, scale, offset, name) for k in sorted(keys)]
-    return spark.createDataFrame(rows, "unit_key string, dimension string, view string, scale double, offset double, unit_name string")
+    return rows
+
+
+def conversions_to(unit: str) -> list[tuple[str, str, str, float, float]]:
+    """(unit_key, unit_name, view, scale, offset): every known unit of the dimension expressed in the given one; none if it is unknown."""
+    key = re.sub(r"\s+", " ", unit.strip().replace("µ", "μ"))
+    key = key if key in _CASED else key.lower()
+    own = next((r for r in known_names() if r[0] == key and r[2] == "id"), None)
+    if own is None:
+        return []
+    return [(k, name, view, scale / own[3], (offset - own[4]) / own[3]) for k, dim, view, scale, offset, name in known_names() if dim == own[1]]
 
 
 FIGURE = r"-?\d+(?:\.\d+)?(?:e[+-]?\d+)?"

@@ -77,41 +77,26 @@ def readings(records: DataFrame, attr_schema: DataFrame) -> DataFrame:
     )
 
 
-def _relative(known: DataFrame, targets: DataFrame) -> DataFrame:
-    """attr, known conversions of the attribute's dimension expressed in its unit_std."""
-    std = targets.withColumn("_k", U.unit_key(F.col("unit_std"))).join(
-        known.select(F.col("unit_key").alias("_k"), F.col("dimension"), F.col("view").alias("_v"), F.col("scale").alias("_s"), F.col("offset").alias("_o")), "_k"
-    )
-    both = std.join(F.broadcast(known), "dimension")  # fewer than 300 known spellings
-    return both.select("attr", "unit_key", "unit_name", "view", (F.col("scale") / F.col("_s")).alias("scale"), ((F.col("offset") - F.col("_o")) / F.col("_s")).alias("offset"))
-
-
 def conversions(obs: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_links: int = 5, tolerance: float = 0.06) -> DataFrame:
     """attr, unit_key -> view, scale, offset to unit_std, estimate, links, how.
 
     obs: attr, family, unit_key, x (first figure). rounds: layers of the source graph that are propagated.
     """
     spark = obs.sparkSession
-    targets = attr_schema.filter(F.col("vtype").isin(*QUANTITY)).select(F.col("attribute").alias("attr"), "unit_std")
-    rel = cut(_relative(U.known_conversions(spark), targets))
+    targets = [(r.attribute, r.unit_std) for r in attr_schema.filter(F.col("vtype").isin(*QUANTITY) & F.col("unit_std").isNotNull()).select("attribute", "unit_std").collect()]  # a schema's rows
+    known = [(attr, *c) for attr, unit in targets for c in U.conversions_to(unit)]  # at most 60 names per attribute
+    rel = F.broadcast(spark.createDataFrame(known, "attr string, _b string, unit_name string, view string, scale double, offset double"))
     med = cut(obs.groupBy("attr", "family", "unit_key").agg(F.percentile_approx("x", 0.5, 1000).alias("m"), F.count("*").alias("n")))
     factor, bare = U.scale_split(F.col("unit_key"))
     nodes = med.groupBy("attr", "unit_key").agg(F.sum("n").alias("readings")).withColumn("_f", factor).withColumn("_b", bare)
-    named = (
-        nodes.join(rel.withColumnRenamed("unit_key", "_b"), ["attr", "_b"])
-        .select("attr", "unit_key", "unit_name", "view", (F.col("scale") * F.col("_f")).alias("scale"), "offset")
-    )
+    named = nodes.join(rel, ["attr", "_b"]).select("attr", "unit_key", "unit_name", "view", (F.col("scale") * F.col("_f")).alias("scale"), "offset")
     # known conversions that an estimate may snap to, scaled multiples included
-    marks = spark.createDataFrame([("", 1.0), *U._SCALES.items()], "mark string, by double")
-    snaps = F.broadcast(
-        rel.crossJoin(F.broadcast(marks))  # four multiples of under 300 known spellings per attribute
-        .filter((F.col("mark") == "") | (F.col("view") == "id") & (F.col("offset") == 0))
-        .select("attr", "view", F.concat("mark", "unit_name").alias("snap"), (F.col("scale") * F.col("by")).alias("k_scale"), F.col("offset").alias("k_offset")).distinct()
-    )
-    std = targets.join(named, "attr").filter((F.col("view") == "id") & (F.abs(F.col("scale") - 1) < 1e-12) & (F.abs("offset") < 1e-9))
+    marks = {"": 1.0, **U._SCALES}
+    multiples = {(attr, view, m + name, scale * by, offset) for attr, _, name, view, scale, offset in known for m, by in marks.items() if m == "" or (view == "id" and offset == 0)}
+    snaps = F.broadcast(spark.createDataFrame(sorted(multiples), "attr string, view string, snap string, k_scale double, k_offset double"))
     fields = T.StructType.fromDDL("attr string, unit_key string, view string, scale double, offset double, est_scale double, est_offset double, links long, snap string")
-    solved = std.select("attr", "unit_key", "view", "scale", "offset", F.lit(1.0).alias("est_scale"), F.lit(0.0).alias("est_offset"), F.lit(0).cast("long").alias("links"), F.col("unit_name").alias("snap"))
-    solved = cut(solved.to(fields))
+    start = [(attr, key, view, 1.0, 0.0, 1.0, 0.0, 0, name) for attr, key, name, view, scale, offset in known if view == "id" and abs(scale - 1) < 1e-12 and abs(offset) < 1e-9]
+    solved = spark.createDataFrame(start, fields)
     for layer in range(rounds):
         ref = (
             med.join(solved.select("attr", "unit_key", "view", "scale", "offset"), ["attr", "unit_key"])

@@ -13,7 +13,7 @@ Distinct texts of a cell are kept for its value only as a most frequent one; con
 Defined results. family_id null or blank: the row belongs to no family and states nothing. Placeholders and values
 that cannot be read as the column's type state nothing. Attributes outside attr_schema are ignored. A head that
 equals no family_id is ignored; if two families are equal without separators it belongs to both.
-The value of a cell is the most frequent one, ties to the smallest. Rows delivered twice count once
+The value of a cell is the most frequent one, ties by a hash of the value. Rows delivered twice count once
 (equal record_id). Empty tables give an empty table with all columns.
 """
 
