@@ -93,7 +93,7 @@ def judged(docs: DataFrame) -> DataFrame:
     link = (F.col("links") > 0) & ~(F.col("cites") & (F.col("n_bare") <= 3)) & ((F.col("n_bare") <= 90) | (F.col("links") >= 3))
     tags = (F.col("tags") >= 2) & (F.col("tags") * 2 >= F.col("nw"))
     stuffed = (F.col("again") > F.col("most_again")) & (F.col("nw") >= 8)
-    stuffed = stuffed | (F.col("copies") >= 3) & (F.col("again") > 0.04) & (F.col("nw") >= 3) & ~F.col("pairs") & ~F.col("data")
+    stuffed = stuffed | (F.col("copies") >= 3) & ((F.col("again") > 0.04) | ~F.col("ends") & (F.col("nw") <= 10)) & (F.col("nw") >= 2) & ~F.col("pairs") & ~F.col("data")
     poor = F.col("fw") < F.col("least_fw")
     listing = poor & ((F.col("seps") >= 2) | ~F.col("ends")) & ~F.col("pairs") & ~F.col("data") & (~F.col("figures") | (F.col("seps") >= 2))
     entry = short & ~F.col("ends") & ~F.col("pairs") & ~F.col("data") & ~F.col("figures") & (F.col("fw") < 0.34)
