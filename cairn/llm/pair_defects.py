@@ -6,6 +6,8 @@ refusal or by nothing. Thresholds are calibrated per label on held-out synthetic
 fit calls defective are taken out of the sound examples and the classifier is fitted again, since some sampled answers
 are defective themselves.
 
+The n-grams are those of the whole answer; refusal wording is also looked for in each window of a long one.
+
 Scale. The fit uses at most `sample_rows` pairs (a documented bound; those with the smallest hash of their id), on
 the driver; the weights (a few hundred kB) go to the tasks. Every pair is judged, in Arrow batches, without a shuffle
 beside the join of answers with their questions.
@@ -78,10 +80,24 @@ def _prose(s: str) -> tuple[int, int]:
 
 
 DENSE = 32
+WINDOW = 240  # characters; refusals are shorter, and half of it overlaps
 
 
-def features(question: str | None, answer: str | None) -> tuple[list[float], list[int]]:
-    """(dense pair features, hashed n-gram buckets)."""
+def _buckets(text: str, known: set[str]) -> list[int]:
+    words = re.findall(r"[a-z']+|[㐀-鿿]", text)
+    grams = set()
+    for i, w in enumerate(words):
+        if w not in known:
+            grams.add(w)
+        if i + 1 < len(words):
+            grams.add(w + "_" + words[i + 1])
+        if i + 2 < len(words):
+            grams.add(w + "_" + words[i + 1] + "_" + words[i + 2])
+    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+
+
+def features(question: str | None, answer: str | None) -> tuple[list[float], list[int], list[list[int]]]:
+    """(dense pair features, hashed n-gram buckets of the whole answer, those of each window of a long answer)."""
     raw = answer or ""
     a, q = _plain(answer), _plain(question)
     ka, kq = _key(a), _key(q)
@@ -135,29 +151,34 @@ def features(question: str | None, answer: str | None) -> tuple[list[float], lis
     figure_end = bool(re.search(r"\d\s*[A-Za-zμ°%]{0,4}[*_`\"”]*$", a))
     d[30] = float(len(sentences) <= 1 and figure_end)  # only its full stop is missing
     d[31] = float(verbal and not ended and not d[30])
-    text = _NAME.sub(" N ", a.lower())[:240]
-    words = re.findall(r"[a-z']+|[㐀-鿿]", text)
-    rest_q = set(re.findall(r"[a-z']+|[㐀-鿿]", q.lower()))
-    grams = set()
-    for i, w in enumerate(words):
-        if w not in rest_q:
-            grams.add(w)
-        if i + 1 < len(words):
-            grams.add(w + "_" + words[i + 1])
-        if i + 2 < len(words):
-            grams.add(w + "_" + words[i + 1] + "_" + words[i + 2])
-    return d, [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    text = _NAME.sub(" N ", a.lower())
+    known = set(re.findall(r"[a-z']+|[㐀-鿿]", q.lower()))
+    starts = [*range(0, len(text) - WINDOW, WINDOW // 2), len(text) - WINDOW] if len(text) > WINDOW else []
+    return d, _buckets(text, known), [_buckets(text[i : i + WINDOW], known) for i in starts]
 
 
-def _matrix(pairs: list[tuple]) -> np.ndarray:
+def _matrix(pairs: list[tuple]) -> tuple[np.ndarray, dict[int, list[list[int]]]]:
+    """One row per pair, and the windows of the long answers by row."""
     x = np.zeros((len(pairs), DENSE + BUCKETS), dtype=np.float32)
+    windows = {}
     for i, (q, a) in enumerate(pairs):
-        d, g = features(q, a)
+        d, g, parts = features(q, a)
         x[i, :DENSE] = d
         x[i, :DENSE] *= 2
         if g:
             x[i, DENSE + np.array(g)] = 4.0 / np.sqrt(len(g))
-    return x
+        if parts:
+            windows[i] = parts
+    return x, windows
+
+
+def _scores(x: np.ndarray, windows: dict[int, list[list[int]]], w: np.ndarray) -> np.ndarray:
+    """Scores per label; a refusal scores as in the window that most resembles one, so that a preamble of any length does not thin it out."""
+    score, k = x @ w, LABELS.index("refusal")
+    for i, parts in windows.items():
+        best = max((4.0 / np.sqrt(len(g)) * w[DENSE + np.unique(g), k].sum() for g in parts if g), default=-np.inf)
+        score[i, k] = max(score[i, k], x[i, :DENSE] @ w[:DENSE, k] + best)
+    return score
 
 
 def _asked(q: str, rng: random.Random) -> str:
@@ -209,7 +230,11 @@ def synthetic(pairs: list[tuple], seed: int = 7) -> tuple[list[tuple], list[int]
             else:
                 r = rng.choice(_OPEN_EN) + rng.choice(_CORE_EN) + rng.choice(_WHY_EN) + rng.choice([".", ".", "!"]) + rng.choice(_TAIL_EN)
                 r = r[:1].upper() + r[1:]
-            add(q, r.format(a=_asked(q, rng)), 2, i)
+            r = r.format(a=_asked(q, rng))
+            add(q, r, 2, i)
+        if i % 2 == 0:  # behind the question, repeated up to some hundred words
+            add(q, f"{q} " * (1 + i // 2 % 8) + r, 2, i)
+            add(q, f"{q} " * (1 + i // 2 % 8) + a, -1, i)
         c = rng.choice([q, q, f"> {q}", f'"{q}"', f"**{q}**", q.rstrip("?？.。"), f"Q: {q}", q.upper(), q.replace(" ", "  "), f"<answer>{q}</answer>", f"“{q}”", f"- {q}", f"Answer: {q}", f"You asked: {q}", f"The question is: {q}", f"{q} {q}", f"{q}\n{q}", f"答：{q}" if is_zh else f"A: {q}", rng.choice([f"您的问题是：{q}", f"您问的是：{q}"]) if is_zh else f"Your question: {q}"])
         add(q, c, 3, i)
         other = en if is_zh else zh
@@ -220,52 +245,67 @@ def synthetic(pairs: list[tuple], seed: int = 7) -> tuple[list[tuple], list[int]
     return out, label, origin
 
 
+def _descend(x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
+    w = np.zeros((x.shape[1], len(LABELS)), dtype=np.float32)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    weight = np.where(y > 0, 2.0, 1.0).astype(np.float32)
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ ((p - y) * weight) / max(1, len(x)) + 2e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.12 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w
+
+
+def _examples(pairs: list[tuple], seed: int) -> tuple:
+    """Feature rows, windows, labels one-hot and the index of the pair each row was made from."""
+    data, label, origin = synthetic(pairs, seed)
+    y = np.zeros((len(data), len(LABELS)), dtype=np.float32)
+    for i, k in enumerate(label):
+        if k >= 0:
+            y[i, k] = 1
+    return *_matrix(data), y, np.array(origin)
+
+
 def fit(pairs: list[tuple], seed: int = 7, rounds: int = 2, steps: int = 200) -> dict:
     """Weights and thresholds from (question, sound answer, bare value or None)."""
     if not pairs:  # nothing to learn from: only what an exact check proves is flagged
         return {"w": np.zeros((DENSE + BUCKETS, len(LABELS)), dtype=np.float32), "cuts": np.full(len(LABELS), 1.0, dtype=np.float32)}
-    for round_ in range(rounds):
-        data, label, origin = synthetic(pairs, seed)
-        x = _matrix(data)
-        y = np.zeros((len(data), len(LABELS)), dtype=np.float32)
-        for i, k in enumerate(label):
-            if k >= 0:
-                y[i, k] = 1
-        held = np.array([o % 5 == 0 for o in origin], dtype=bool)
-        w = np.zeros((x.shape[1], len(LABELS)), dtype=np.float32)
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        xt, yt = x[~held], y[~held]
-        weight = np.where(yt > 0, 2.0, 1.0).astype(np.float32)
-        for t in range(1, steps + 1):
-            p = 1 / (1 + np.exp(-np.clip(xt @ w, -30, 30)))
-            g = xt.T @ ((p - yt) * weight) / len(xt) + 2e-5 * w
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= 0.12 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        score = x[held] @ w
-        cuts = []
-        for k in range(len(LABELS)):
-            s, true = score[:, k], y[held][:, k] > 0
-            # a third of the way from almost all sound to almost all defective pairs, where they lie apart; else the best F1
-            low, high = (np.quantile(s[~true], 0.995), np.quantile(s[true], 0.01)) if true.any() and (~true).any() else (0.0, 0.0)
-            if high > low:
-                cuts.append(float(low * 2 + high) / 3)
-                continue
-            grid = np.unique(np.quantile(s, np.linspace(0, 1, 401))) if len(s) else np.array([0.0])
-            f1 = np.array([2 * ((s >= c) & true).sum() / max(1, (s >= c).sum() + true.sum()) for c in grid])
-            cuts.append(float(grid[np.argmax(f1 >= f1.max() - 0.0015)]))  # the lowest of what is as good as the best
-        model = {"w": w, "cuts": np.array(cuts, dtype=np.float32)}
-        if round_ + 1 < rounds:
-            own = _matrix([(q, a) for q, a, _ in pairs])
-            pairs = [p for p, bad in zip(pairs, ((own @ w) >= model["cuts"] - 1).any(axis=1)) if not bad] or pairs
-    return model
+    for _ in range(rounds - 1):  # each half is judged by a short fit on the other, which has not learned its defective answers as sound
+        x, _windows, y, origin = _examples(pairs, seed)
+        half = np.array([zlib.crc32(_key(a).encode()) % 2 for _, a, _ in pairs])
+        own, windows = _matrix([(q, a) for q, a, _ in pairs])
+        bad = np.zeros(len(pairs), dtype=bool)
+        for h in (0, 1):
+            other = half[origin] != h
+            if other.any():
+                score = _scores(own, windows, _descend(x[other], y[other], steps // 3))
+                bad |= (half == h) & (score >= -1).any(axis=1)
+        pairs = [p for p, b in zip(pairs, bad) if not b] or pairs
+    x, windows, y, origin = _examples(pairs, seed)
+    held = origin % 5 == 0
+    w = _descend(x[~held], y[~held], steps)
+    score = _scores(x, windows, w)[held]
+    cuts = []
+    for k in range(len(LABELS)):
+        s, true = score[:, k], y[held][:, k] > 0
+        # a third of the way from almost all sound to almost all defective pairs, where they lie apart; else the best F1
+        low, high = (np.quantile(s[~true], 0.995), np.quantile(s[true], 0.01)) if true.any() and (~true).any() else (0.0, 0.0)
+        if high > low:
+            cuts.append(float(low * 2 + high) / 3)
+            continue
+        grid = np.unique(np.quantile(s, np.linspace(0, 1, 401))) if len(s) else np.array([0.0])
+        f1 = np.array([2 * ((s >= c) & true).sum() / max(1, (s >= c).sum() + true.sum()) for c in grid])
+        cuts.append(float(grid[np.argmax(f1 >= f1.max() - 0.0015)]))  # the lowest of what is as good as the best
+    return {"w": w, "cuts": np.array(cuts, dtype=np.float32)}
 
 
 def judge(model: dict, questions: list, answers: list) -> list[str | None]:
     out: list[str | None] = []
     for i in range(0, len(answers), 512):
         pairs = list(zip(questions[i : i + 512], answers[i : i + 512]))
-        x = _matrix(pairs)
-        margin = x @ model["w"] - model["cuts"]
+        x, windows = _matrix(pairs)
+        margin = _scores(x, windows, model["w"]) - model["cuts"]
         for (q, a), r, d in zip(pairs, margin, x):
             out.append(_decide(q, a, r, d))
     return out
