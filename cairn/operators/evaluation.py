@@ -36,7 +36,7 @@ def ndcg(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("query").agg((gain / ideal).alias("ndcg"))
 
 
-def ordered(df: DataFrame, *order: str, totals: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
+def ordered(df: DataFrame, *order: str | Column, totals: tuple[str, ...] = (), lasts: tuple[str, ...] = ()) -> DataFrame:
     """Adds _row (1, 2, ... over all rows in the order), _cum_<c> for totals and _prev_<c> for lasts, without one task holding all rows.
 
     Rows are range-partitioned by the order and numbered within their partition; what lies before each partition comes

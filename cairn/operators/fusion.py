@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from cairn.functions import text as T
+from cairn.operators.evaluation import ordered
 from cairn.session import cut
 
 
@@ -181,23 +182,25 @@ def canonical_values(t: DataFrame, surface: DataFrame) -> DataFrame:
 
 
 # ---- components and audits
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """node, component: connected components by the smallest label, halved paths; pairs: a, b.
+def components(pairs: DataFrame) -> DataFrame:
+    """node, component: connected components by the smallest node; pairs: a, b.
 
-    Every round is two shuffles and a checkpoint; labels stay in the cluster. Hubs are aggregated before they are shuffled.
+    Large-star and small-star turns until every component is a star, so the rounds grow with the logarithm of a chain's
+    length. Edges stay in the cluster, with a checkpoint a round; smallest neighbours are aggregated before they are joined.
     """
-    e = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
-    label = cut(e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("n"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        nxt = label.join(near, "node", "left").join(jump, "component", "left")
-        nxt = cut(nxt.select("node", "component", F.least("component", F.coalesce("n", "component"), F.coalesce("up", "component")).alias("new")))
-        done = nxt.filter(F.col("new") != F.col("component")).isEmpty()
-        label = nxt.select("node", F.col("new").alias("component"))
-        if done:
-            break
-    return label
+    p = cut(pairs.select("a", "b").filter("a is not null and b is not null").distinct())
+    nodes = p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    e = p.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # a > b
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = cut(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        more = e.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        if more.unionByName(e.select("a").join(e.select(F.col("b").alias("a")), "a", "left_semi")).isEmpty():
+            return nodes.join(e.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
 
 
 def leakage(items: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -208,18 +211,21 @@ def leakage(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return own.groupBy("component").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("split")), "|").alias("splits")).filter(F.contains("splits", F.lit("|")))
 
 
-def cover(sets: DataFrame, most: int = 20) -> DataFrame:
-    """turn, set, gain: greedy set cover; a fixed number of rounds, each one count and one anti-join. sets: set, item."""
-    left, rows = cut(sets.select("set", "item").distinct()), None
-    for turn in range(1, most + 1):
-        best = left.groupBy("set").agg(F.count("*").alias("gain")).agg(F.max_by(F.struct("set", "gain"), F.struct("gain", F.col("set"))).alias("b")).select(F.lit(turn).alias("turn"), "b.set", "b.gain").filter("set is not null")
-        best = cut(best)
-        if best.isEmpty():
-            break
-        rows = best if rows is None else rows.unionByName(best)
-        taken = left.join(F.broadcast(best.select("set")), "set", "left_semi").select("item")  # one row
-        left = cut(left.join(taken.distinct(), "item", "left_anti"))
-    return rows
+def cover(sets: DataFrame) -> DataFrame:
+    """turn, set, gain: greedy set cover until no item is left; ties go to the last set by name. sets: set, item; rows with a null are ignored.
+
+    A round takes every set that comes before all sets it shares an item with: nothing can change its gain before its turn,
+    and as gains only fall, the turns are the order by gain and name.
+    """
+    left, rows = cut(sets.select("set", "item").filter("set is not null and item is not null").distinct()), None
+    while rows is None or not left.isEmpty():
+        gains = left.groupBy("set").agg(F.count("*").alias("gain"))
+        first = left.join(gains, "set").groupBy("item").agg(F.max(F.struct("gain", "set")).alias("f"))
+        best = cut(first.groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("f.gain")).select("f.set", "f.gain"))
+        rows = best if rows is None else cut(rows.unionByName(best))
+        left = cut(left.join(left.join(best, "set", "left_semi").select("item").distinct(), "item", "left_anti"))
+    o = ordered(rows, F.desc("gain"), F.desc("set"))
+    return o.select(F.col("_row").cast("int").alias("turn"), "set", "gain")
 
 
 def path_templates(t: DataFrame, least: int = 2) -> DataFrame:
