@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators import checks as C
 from cairn.operators import evaluation as E
 from cairn.operators import fusion as U
 from cairn.operators import graph as G
@@ -362,6 +363,23 @@ def _(spark, d):
     return U.grounded(claims, texts).groupBy("claim").agg(F.bool_or("head_in").alias("head_in"))
 
 
+def _grounded(spark, d):
+    w = table(spark, d, "wikidata_enrich_out").filter("head is not null and relation is not null and tail is not null").select("head", "relation", "tail").distinct()
+    claims = w.select(F.concat_ws("|", "head", "relation", "tail").alias("claim"), F.col("head").alias("doc"), "head", "tail")
+    texts = table(spark, d, "radar_corpus").filter("family_id is not null and raw_text_en is not null").select(T.entity_key(F.col("family_id")).alias("doc"), F.col("raw_text_en").alias("text")).distinct()
+    return U.grounded(claims, texts).groupBy("claim").agg(F.bool_or("head_in").alias("head_in"), F.bool_or("tail_in").alias("tail_in"))
+
+
+@q("j16_grounded_all")
+def _(spark, d):
+    return _grounded(spark, d)
+
+
+@q("r08_gate_all")
+def _(spark, d):
+    return C.gate(_grounded(spark, d))
+
+
 @q("j17_resolve", """WITH m AS (SELECT DISTINCT head AS mention, regexp_replace(lower(head), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM wikidata_enrich_out), e AS (SELECT DISTINCT lower(trim(family_id)) AS name, regexp_replace(lower(trim(family_id)), '[^\\p{L}\\p{N}]', '', 'g') AS k FROM typed_records WHERE family_id IS NOT NULL),
  a AS (SELECT mention, name, 0 AS how FROM m JOIN e ON mention = name UNION ALL SELECT mention, name, 2 FROM m JOIN e ON m.k = e.k UNION ALL SELECT mention, name, 3 FROM m JOIN e ON substr(m.k, 1, 4) = substr(e.k, 1, 4) AND length(m.k) >= 4 AND starts_with(e.k, m.k))
  SELECT mention, min_by(name, (how, length(name), name)) AS name, CAST(min(how) AS INTEGER) AS how FROM a GROUP BY 1""")
