@@ -123,6 +123,13 @@ def _(spark, d):
     return R.round_robin(r.select("item", "queue", "rank"), 30).select("item", "rank")
 
 
+@q("t08_round_robin_all")
+def _(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("queue")).agg(F.min("l_orderkey").alias("k"))
+    r = x.withColumn("rank", F.row_number().over(W.partitionBy("queue").orderBy("k", "item")))
+    return R.round_robin(r.select("item", "queue", "rank"), 30).select("item", "rank")
+
+
 @q("t09_fan_out", "SELECT n_name AS entity FROM nation ORDER BY 1 LIMIT 6")
 def _(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias("entity")).orderBy("entity").limit(6)
