@@ -72,10 +72,15 @@ def known_names() -> list[tuple[str, str, str, float, float, str]]:
     return rows
 
 
+def key_of(unit: str) -> str:
+    """unit_key of a plain name."""
+    key = re.sub(r"\s+", " ", unit.strip().replace("µ", "μ"))
+    return key if key in _CASED else key.lower()
+
+
 def conversions_to(unit: str) -> list[tuple[str, str, str, float, float]]:
     """(unit_key, unit_name, view, scale, offset): every known unit of the dimension expressed in the given one; none if it is unknown."""
-    key = re.sub(r"\s+", " ", unit.strip().replace("µ", "μ"))
-    key = key if key in _CASED else key.lower()
+    key = key_of(unit)
     own = next((r for r in known_names() if r[0] == key and r[2] == "id"), None)
     if own is None:
         return []

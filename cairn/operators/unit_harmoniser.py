@@ -2,21 +2,27 @@
 
 Method. A reading is parsed into figures and the unit it prints (value_text, else the unit
 column, else typed_value.unit). The readings of one (attribute, family) link the same entity across
-the sources that use different units. Nodes of the source graph are (attribute, unit); starting
-from unit_std, each round links the nodes that are not resolved yet with the medians of the
+the sources that use different units. Nodes of the source graph are (attribute, unit as printed); starting
+from the node of unit_std alone, each round links the nodes that are not resolved yet with the medians of the
 resolved ones, estimates a robust scale and offset in three views of the figure (itself, its reciprocal,
-its power of ten), snaps the estimate to the known conversions and adds the node to the graph.
-A unit whose name is known snaps to the conversion of that name, since what is printed decides; the
-estimate is reported beside it and alone decides for names nobody knows.
+its power of ten), snaps the estimate to a known conversion and adds the node to the graph, until no node
+is left that links reach.
+
+The estimate decides. A unit's name is a prior worth `prior` links: among the conversions the estimate allows (within
+`tolerance`) the one of that name is taken, and a name is believed against its links only while these are no more than `prior`.
+Beyond that the links win and `how` says "contradicted". So the conversions are found with no table of names at all
+(names=False): only the known factors to snap to, and unit_std, are given.
 
 Scale. Links never pair readings: medians per (attribute, family, unit) are partial aggregates, so a family with a
 third of all rows costs one row per unit. A round joins those medians with one reference per (attribute, family).
-The conversions are as many as the distinct units per attribute.
+The conversions are as many as the distinct units per attribute. Rounds: the longest chain of links, usually two.
 
 Defined results. Null or blank attribute, attribute outside attr_schema, or not a quantity: no row. No
 figure anywhere: a row with empty figures. No unit anywhere: unit_key null, figures taken to be in unit_std.
-Unit neither known nor resolved by links: `how` is 'unresolved' and the converted figures are null.
-Rows delivered twice: one row each (the result keeps every input row). Tied medians: the lower one.
+`how`: "linked and named" (estimate and name agree), "linked" (no name known), "weakly linked" (fewer than `min_links`
+links), "estimated" (no known conversion is near: the estimate as it is), "contradicted", "named" (nothing or too little links it),
+"unresolved" (neither name nor link): figures null. Rows delivered twice: one row each (the result keeps every input row).
+Tied medians: the lower one.
 """
 
 from __future__ import annotations
@@ -77,88 +83,101 @@ def readings(records: DataFrame, attr_schema: DataFrame) -> DataFrame:
     )
 
 
-def conversions(obs: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_links: int = 5, tolerance: float = 0.06) -> DataFrame:
+def _fit(links: DataFrame, snaps: DataFrame, named: DataFrame, prior: int, min_links: int, tolerance: float) -> DataFrame:
+    """One row per linked node: the conversion that estimate and prior give. links: attr, unit_key, m (own median), y (in unit_std)."""
+    views = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), U.apply_view(F.lit(v), F.col("m")).alias("v")) for v in ("id", "recip", "pow10")]))
+    thirds = lambda c: F.percentile_approx(c, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000)
+    est = (
+        links.select("attr", "unit_key", "y", views.alias("_w")).select("attr", "unit_key", "y", "_w.*").filter(F.col("v").isNotNull())
+        .groupBy("attr", "unit_key", "view")
+        .agg(
+            F.count("*").alias("links"), thirds("y").alias("qy"), thirds("v").alias("qv"), thirds(F.col("y") - F.col("v")).alias("d"),
+            thirds(F.when((F.col("y") > 0) & (F.col("v") > 0), F.log(F.col("y") / F.col("v")))).alias("lr"),
+        )
+    )
+    ratio, spread = F.exp(F.col("lr")[1]), F.col("lr")[2] - F.col("lr")[0]
+    # how far a known conversion is from the estimate: by the ratio where it is a factor, at three quantiles where it has an offset
+    at = lambda i: F.abs(F.col("qv")[i] * F.col("k_scale") + F.col("k_offset") - F.col("qy")[i])
+    span = F.greatest(F.abs(F.col("qy")[2] - F.col("qy")[0]), F.lit(1e-9))
+    by_offset = F.abs(F.col("d")[1] - F.col("k_offset")) / F.greatest(F.abs(F.col("k_offset")), F.lit(1.0))
+    dist = F.when(F.col("k_offset") == 0, F.coalesce(F.abs(F.log(ratio / F.col("k_scale"))), F.when(F.col("k_scale") == 1, F.abs(F.col("d")[1]) / span))).when(F.col("k_scale") == 1, by_offset).otherwise((at(0) + at(1) + at(2)) / (3 * span))
+    n = named.select("attr", "unit_key", "view", F.col("scale").alias("k_scale"), F.col("offset").alias("k_offset"), F.col("unit_name").alias("snap"), F.lit(True).alias("is_named"))
+    options = est.join(snaps, ["attr", "view"]).withColumn("is_named", F.lit(False)).unionByName(est.join(n, ["attr", "unit_key", "view"]))
+    options = options.withColumn("dist", dist).filter(F.col("dist").isNotNull() & ~F.isnan("dist"))
+    # the printed name first among those the estimate allows; then the nearest in the view in which the links agree best
+    blur = F.col("dist") + F.when(F.col("k_offset") == 0, F.coalesce(spread, F.lit(0.0)) / 2).otherwise(0.0)
+    order = F.struct(F.when(F.col("is_named") & (F.col("dist") <= tolerance), 0).otherwise(1), blur, "snap")
+    chosen = F.struct("view", F.col("k_scale").alias("scale"), F.col("k_offset").alias("offset"), ratio.alias("est_scale"), F.col("d")[1].alias("est_offset"), "links", "snap", "dist", "is_named")
+    best = options.groupBy("attr", "unit_key").agg(F.min_by(chosen, order).alias("_b")).select("attr", "unit_key", "_b.*")
+    own = named.select("attr", "unit_key", F.col("view").alias("n_view"), F.col("scale").alias("n_scale"), F.col("offset").alias("n_offset"), "unit_name")
+    best = best.join(own, ["attr", "unit_key"], "left")
+    near, has_name = F.col("dist") <= tolerance, F.col("n_view").isNotNull()
+    how = (
+        F.when(F.col("is_named") & near, "linked and named")
+        .when(has_name & (~near | (F.col("links") <= prior)), "named")
+        .when(has_name, "contradicted")
+        .when(~near, "estimated").when(F.col("links") < min_links, "weakly linked").otherwise("linked")
+    )
+    by_name, raw = F.col("how") == "named", (F.col("how") == "estimated") & F.col("est_scale").isNotNull() & ~F.isnan("est_scale")
+    pick = lambda c, other: F.when(by_name, F.col(f"n_{c}")).when(raw, other).otherwise(F.col(c)).alias(c)
+    return best.withColumn("how", how).select(
+        "attr", "unit_key", pick("view", F.col("view")), pick("scale", F.col("est_scale")), pick("offset", F.lit(0.0)), "est_scale", "est_offset", "links",
+        F.when(by_name, F.col("unit_name")).when(~raw, F.col("snap")).alias("snap"), "how",
+    )
+
+
+_SOLVED = "attr string, unit_key string, view string, scale double, offset double, est_scale double, est_offset double, links long, snap string, how string"
+
+
+def conversions(obs: DataFrame, attr_schema: DataFrame, prior: int = 20, min_links: int = 5, tolerance: float = 0.06, names: bool = True) -> DataFrame:
     """attr, unit_key -> view, scale, offset to unit_std, estimate, links, how.
 
-    obs: attr, family, unit_key, x (first figure). rounds: layers of the source graph that are propagated.
+    obs: attr, family, unit_key, x (first figure). prior: links a printed known name is worth. names=False: no name is
+    known but the attribute's own unit_std.
     """
     spark = obs.sparkSession
     targets = [(r.attribute, r.unit_std) for r in attr_schema.filter(F.col("vtype").isin(*QUANTITY) & F.col("unit_std").isNotNull()).select("attribute", "unit_std").collect()]  # a schema's rows
     known = [(attr, *c) for attr, unit in targets for c in U.conversions_to(unit)]  # at most 60 names per attribute
-    rel = F.broadcast(spark.createDataFrame(known, "attr string, _b string, unit_name string, view string, scale double, offset double"))
+    rel = F.broadcast(spark.createDataFrame(known if names else [], "attr string, _b string, unit_name string, view string, scale double, offset double"))
     med = cut(obs.groupBy("attr", "family", "unit_key").agg(F.percentile_approx("x", 0.5, 1000).alias("m"), F.count("*").alias("n")))
     factor, bare = U.scale_split(F.col("unit_key"))
     nodes = med.groupBy("attr", "unit_key").agg(F.sum("n").alias("readings")).withColumn("_f", factor).withColumn("_b", bare)
-    named = nodes.join(rel, ["attr", "_b"]).select("attr", "unit_key", "unit_name", "view", (F.col("scale") * F.col("_f")).alias("scale"), "offset")
-    # known conversions that an estimate may snap to, scaled multiples included
-    marks = {"": 1.0, **U._SCALES}
-    multiples = {(attr, view, m + name, scale * by, offset) for attr, _, name, view, scale, offset in known for m, by in marks.items() if m == "" or (view == "id" and offset == 0)}
-    snaps = F.broadcast(spark.createDataFrame(sorted(multiples), "attr string, view string, snap string, k_scale double, k_offset double"))
-    fields = T.StructType.fromDDL("attr string, unit_key string, view string, scale double, offset double, est_scale double, est_offset double, links long, snap string")
-    start = [(attr, key, view, 1.0, 0.0, 1.0, 0.0, 0, name) for attr, key, name, view, scale, offset in known if view == "id" and abs(scale - 1) < 1e-12 and abs(offset) < 1e-9]
-    solved = spark.createDataFrame(start, fields)
-    for layer in range(rounds):
+    nodes = cut(nodes.join(rel, ["attr", "_b"], "left").select("attr", "unit_key", "readings", "unit_name", "view", (F.col("scale") * F.col("_f")).alias("scale"), "offset"))
+    named = nodes.filter(F.col("view").isNotNull())
+    # known conversions that an estimate may snap to, scaled multiples included; one name for each
+    marks, snap_of = {"": 1.0, **U._SCALES}, {}
+    for attr, _, name, view, scale, offset in sorted(known):
+        for m, by in marks.items():
+            if m == "" or (view == "id" and offset == 0):
+                key = (attr, view, float(f"{scale * by:.9g}"), offset)
+                snap_of[key] = min((len(m), name, m + name, scale * by), snap_of.get(key, (9,)))
+    snaps = F.broadcast(spark.createDataFrame([(a, v, x[2], x[3], o) for (a, v, _, o), x in sorted(snap_of.items())], "attr string, view string, snap string, k_scale double, k_offset double"))
+    start = [(attr, U.key_of(unit), "id", 1.0, 0.0, 1.0, 0.0, 0, unit, "unit_std") for attr, unit in targets]
+    solved = spark.createDataFrame(start, _SOLVED)
+    fields = T.StructType.fromDDL(_SOLVED)
+    while True:
         ref = (
             med.join(solved.select("attr", "unit_key", "view", "scale", "offset"), ["attr", "unit_key"])
             .withColumn("y", U.apply_view(F.col("view"), F.col("m")) * F.col("scale") + F.col("offset"))
             .groupBy("attr", "family").agg(F.percentile_approx("y", 0.5, 1000).alias("y"))
-        )
-        links = med.join(solved.select("attr", "unit_key"), ["attr", "unit_key"], "left_anti").join(ref, ["attr", "family"])
-        views = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), U.apply_view(F.lit(v), F.col("m")).alias("v")) for v in ("id", "recip", "pow10")]))
-        est = (
-            links.select("attr", "unit_key", "y", views.alias("_w")).select("attr", "unit_key", "y", "_w.*")
-            .filter(F.col("v").isNotNull())
-            .groupBy("attr", "unit_key", "view")
-            .agg(
-                F.count("*").alias("links"),
-                F.percentile_approx(F.when((F.col("y") > 0) & (F.col("v") > 0), F.log(F.col("y") / F.col("v"))), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("lr"),
-                F.percentile_approx("y", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000).alias("qy"),
-                F.percentile_approx("v", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), 1000).alias("qv"),
-                F.percentile_approx(F.col("y") - F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("d"),
-            )
-            .filter(F.col("links") >= 1)
-        )
-        slope = F.when(F.col("qv")[2] > F.col("qv")[0], (F.col("qy")[2] - F.col("qy")[0]) / (F.col("qv")[2] - F.col("qv")[0]))
-        est = est.withColumn("ratio", F.exp(F.col("lr")[1])).withColumn("slope", slope)
-        # distance of a known conversion from the estimate: on the ratio where it is a factor, at the quartiles where it has an offset
-        at = lambda i: F.abs(F.col("qv")[i] * F.col("k_scale") + F.col("k_offset") - F.col("qy")[i])
-        span = F.greatest(F.abs(F.col("qy")[2] - F.col("qy")[0]), F.lit(1e-9))
-        dist = F.when(F.col("k_offset") == 0, F.abs(F.log(F.col("ratio") / F.col("k_scale")))).when(
-            F.col("k_scale") == 1, F.abs(F.col("d")[1] - F.col("k_offset")) / F.greatest(F.abs(F.col("k_offset")), F.lit(1.0))
-        ).otherwise((at(0) + at(1) + at(2)) / (3 * span))
-        best = (
-            est.join(snaps, ["attr", "view"]).withColumn("dist", dist).filter(F.col("dist").isNotNull())
-            .groupBy("attr", "unit_key")
-            .agg(F.min_by(F.struct("view", F.col("k_scale").alias("scale"), F.col("k_offset").alias("offset"), F.col("ratio").alias("est_scale"), F.col("d")[1].alias("est_offset"), "links", "snap", "dist"), F.struct("dist", "snap")).alias("_b"))
-            .select("attr", "unit_key", "_b.*")
-        )
-        # a printed, known name decides which conversion is right
-        n = named.select("attr", "unit_key", F.col("view").alias("n_view"), F.col("scale").alias("n_scale"), F.col("offset").alias("n_offset"), "unit_name")
-        fresh = best.join(n, ["attr", "unit_key"], "left")
-        known = F.col("n_view").isNotNull()
-        fresh = fresh.filter(known | (F.col("links") >= min_links) & (F.col("dist") <= tolerance)).select(
-            "attr", "unit_key",
-            *[F.when(known, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in ("view", "scale", "offset")],
-            "est_scale", "est_offset", "links", F.when(known, F.col("unit_name")).otherwise(F.col("snap")).alias("snap"),
         )
-        fresh = fresh.to(fields)
-        if layer == 0:  # known names that nothing links join the graph as they are
-            seen = solved.select("attr", "unit_key").unionByName(fresh.select("attr", "unit_key"))
-            alone = named.join(seen, ["attr", "unit_key"], "left_anti")
-            nothing = [F.lit(None).cast(t).alias(c) for c, t in (("est_scale", "double"), ("est_offset", "double"))]
-            fresh = fresh.unionByName(alone.select("attr", "unit_key", "view", "scale", "offset", *nothing, F.lit(0).cast("long").alias("links"), F.col("unit_name").alias("snap")).to(fields))
-        solved = cut(solved.unionByName(fresh))
+        links = med.join(solved.select("attr", "unit_key"), ["attr", "unit_key"], "left_anti").join(ref.filter(F.col("y").isNotNull()), ["attr", "family"])
+        fresh = cut(_fit(links, snaps, named, prior, min_links, tolerance))
+        n_strong, n_any = fresh.agg(F.count_if(F.col("links") >= min_links), F.count("*")).first()
+        if n_strong:  # what few links reach may have more of them in the next round
+            fresh = fresh.filter(F.col("links") >= min_links)
+        elif not n_any:  # nothing links these to what is resolved: a known name joins the graph as it is
+            alone = named.join(solved.select("attr", "unit_key"), ["attr", "unit_key"], "left_anti")
+            nothing = [F.lit(None).cast("double").alias(c) for c in ("est_scale", "est_offset")]
+            fresh = alone.select("attr", "unit_key", "view", "scale", "offset", *nothing, F.lit(0).cast("long").alias("links"), F.col("unit_name").alias("snap"), F.lit("named").alias("how"))
+            fresh = cut(fresh)
+            if fresh.isEmpty():
+                break
+        solved = cut(solved.unionByName(fresh.to(fields)))
         if nodes.join(solved, ["attr", "unit_key"], "left_anti").isEmpty():
             break
-    n = named.select("attr", "unit_key", F.col("view").alias("n_view"), F.col("scale").alias("n_scale"), F.col("offset").alias("n_offset"), "unit_name")
-    out = nodes.select("attr", "unit_key", "readings").join(solved, ["attr", "unit_key"], "left").join(n, ["attr", "unit_key"], "left")
-    linked = F.col("view").isNotNull() & ((F.col("links") > 0) | (F.col("est_scale") == 1.0))
-    how = F.when(linked & F.col("n_view").isNotNull(), "linked and named").when(linked, "linked").when(F.col("n_view").isNotNull(), "named").otherwise("unresolved")
-    return out.select(
-        "attr", "unit_key", "readings", how.alias("how"),
-        *[F.coalesce(c, f"n_{c}").alias(c) for c in ("view", "scale", "offset")],
-        "est_scale", "est_offset", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("snap", "unit_name").alias("snap"),
-    )
+    out = nodes.select("attr", "unit_key", "readings").join(solved, ["attr", "unit_key"], "left")
+    return out.select("attr", "unit_key", "readings", F.coalesce("how", F.lit("unresolved")).alias("how"), "view", "scale", "offset", "est_scale", "est_offset", F.coalesce("links", F.lit(0)).alias("links"), "snap")
 
 
 def first_figures(r: DataFrame) -> DataFrame:
@@ -168,11 +187,11 @@ def first_figures(r: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
-def harmonise(records: DataFrame, attr_schema: DataFrame, rounds: int = 3, min_links: int = 5) -> DataFrame:
+def harmonise(records: DataFrame, attr_schema: DataFrame, names: bool = True) -> DataFrame:
     """Every quantity reading with its figures in unit_std (column std, array<double>) and `changed`."""
     r = cut(readings(records, attr_schema))  # read twice: by the links and by the conversion
     obs = first_figures(r)
-    conv = conversions(obs, attr_schema, rounds, min_links)
+    conv = conversions(obs, attr_schema, names=names)
     side = lambda i: conv.select("attr", F.col("unit_key").alias(f"unit_key{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("view", "scale", "offset", "how")])
     r = r.join(side(1), ["attr", "unit_key1"], "left").join(side(2), ["attr", "unit_key2"], "left")
 

@@ -106,3 +106,55 @@ def test_hot_family(spark, attrs):
     rows = [row(str(i), "hot" if i % 3 else f"f{i % 7}", "power", f"{1 + i % 2} {'kW' if i % 2 else 'W'}") for i in range(600)]
     assert H.records_to_change(frame(spark, rows), attrs).count() == 300
     assert F is not None
+
+
+def test_estimate_decides_without_names(spark, attrs, data):
+    """With the name table emptied but for unit_std, the links alone find the records to change."""
+    d = data.replace("sf0.001", "sf0.01")
+    r, a = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("typed_records", "attr_schema"))
+    named = {x.record_id for x in H.harmonise(r, a).filter("changed").select("record_id").collect()}
+    linked = {x.record_id for x in H.harmonise(r, a, names=False).filter("changed").select("record_id").collect()}
+    assert len(named & linked) >= 0.95 * len(named) and len(linked - named) <= 0.02 * len(named)
+
+
+def test_renamed_units_are_found_by_links(spark, attrs, data):
+    """Every unit but unit_std renamed to a word nobody knows: the readings come out as before."""
+    d = data.replace("sf0.001", "sf0.01")
+    r, a = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("typed_records", "attr_schema"))
+    x = H.readings(r, a).filter("unit_key1 = unit_key2 and size(figures) > 0")
+    obs = H.first_figures(x)
+    swap = F.when(~F.lower("unit_key").isin([u.lower() for (u,) in {(t.unit_std,) for t in a.collect() if t.unit_std}]), F.concat(F.lit("zz"), F.md5("unit_key"))).otherwise(F.col("unit_key"))
+    before = H.conversions(obs, a).withColumn("unit_key", swap).select("attr", "unit_key", F.col("scale").alias("s0"), F.col("offset").alias("o0"), F.col("view").alias("v0"), "readings")
+    after = H.conversions(obs.withColumn("unit_key", swap), a).select("attr", "unit_key", "scale", "offset", "view", "how")
+    rows = before.join(after, ["attr", "unit_key"]).filter("how not in ('unit_std', 'unresolved')").collect()
+    renamed = [t for t in rows if t.unit_key.startswith("zz")]
+    good = sum(t.readings for t in renamed if t.view == t.v0 and abs(t.scale / t.s0 - 1) < 1e-6 and abs(t.offset - t.o0) < 1e-6)
+    assert len(renamed) > 60 and good >= 0.97 * sum(t.readings for t in renamed)
+
+
+def test_links_propagate_to_the_end(spark, attrs):
+    """A chain of units each of which meets only its neighbour, and a unit with a single link."""
+    rows = []
+    for layer in range(6):
+        for k in range(6):
+            v = 2.0 + k
+            here, there = v * 10**layer, v * 10 ** (layer + 1)
+            unit = lambda n: "kW" if n == 0 else f"odd{'abcdefgh'[n]}"
+            rows += [row(f"a{layer}{k}", f"f{layer}_{k}", "power", f"{here:g} {unit(layer)}"), row(f"b{layer}{k}", f"f{layer}_{k}", "power", f"{there:g} {unit(layer + 1)}")]
+    rows += [row("x", "lone", "power", "3 kW"), row("y", "lone", "power", "3000 seldoms"), row("z", "alone", "power", "3 nevers")]
+    got = {x.record_id: x for x in H.harmonise(frame(spark, rows), attrs).collect()}
+    assert got["b50"].std[0] == pytest.approx(2.0, rel=1e-6)
+    assert got["y"].std[0] == pytest.approx(3.0) and got["y"].how == "weakly linked" and got["y"].changed
+    assert got["z"].std == [None] and got["z"].how == "unresolved" and not got["z"].changed
+
+
+def test_links_outvote_a_name(spark, attrs):
+    """A printed name is worth twenty links; a contradiction is reported."""
+    rows = []
+    for k in range(30):
+        rows += [row(f"a{k}", f"f{k}", "power", f"{3.0 + k} kW"), row(f"b{k}", f"f{k}", "power", f"{(3.0 + k) * 1e-3} W")]
+    for k in range(8):
+        rows += [row(f"c{k}", f"g{k}", "power", f"{3.0 + k} kW"), row(f"d{k}", f"g{k}", "power", f"{(3.0 + k) * 10} hp")]
+    h = H.harmonise(frame(spark, rows), attrs)
+    assert {(r.unit_key1, r.how) for r in h.select("unit_key1", "how").distinct().collect()} == {("kw", "unit_std"), ("w", "contradicted"), ("hp", "named")}
+    assert h.filter("record_id = 'b0'").first().std[0] == pytest.approx(3.0)
