@@ -1,20 +1,21 @@
 """Problem 3: attribute-value rows into one row per family with typed columns.
 
-Method. Rows are partitioned by attribute into typed narrow tables (numbers, spans, lists, counts,
-years, flags, texts, entities), each with one row per family and a column for each attribute of its type; the narrow
-tables are combined by a balanced tree of full outer joins on the family. All narrow tables come from one
-table of cells that is hash-partitioned by family, so they are co-partitioned. (A narrow table for each of the 29 attributes
-instead of each type came to 103 exchanges and 1,610 MB of driver memory for plans and generated code.)
+Method. Stated values become cells, one row per (family, attribute). The cells are written partitioned by attribute, so that
+each attribute is a typed narrow table (family and one column of the attribute's own type) whose scan reads its own files and fields
+only. Each narrow table is partitioned by family once, and a balanced tree of outer joins combines them: four narrow
+tables join the table of all families, such groups join each other. As every group holds all families, left outer
+joins are full ones, and they keep the partitioning by family, so the tree itself needs no exchange.
 
-Scale. Readings are pre-aggregated per (family, attribute) before the tree, so a family with a third of all rows is
-one row per attribute in it. The tree has log2(types) levels, and each side has at most one row per family.
-Distinct texts of a cell are kept for its value only as a most frequent one; conflicts compare minima and maxima.
+Scale. Values are counted per (family, attribute, value) before anything is partitioned by family, so a family with a third
+of all rows is spread over its values and then is one row per attribute. The tree has log2(attributes) levels,
+and each side has at most one row per family. Conflicts compare minima and maxima; lists are compared place by place.
 
 Defined results. family_id null or blank: the row belongs to no family and states nothing. Placeholders and values
 that cannot be read as the column's type state nothing. Attributes outside attr_schema are ignored. A head that
 equals no family_id is ignored; if two families are equal without separators it belongs to both.
 The value of a cell is the most frequent one, ties by a hash of the value. Rows delivered twice count once
-(equal record_id). Empty tables give an empty table with all columns.
+(equal record_id). Lists of options are sets: order and repeats do not count, and they differ if they have other
+lengths or a figure is more than 2 % apart. Empty tables give an empty table with all columns.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.unit_harmoniser import QUANTITY, even_name, harmonise, schema_names
-from cairn.session import cut
+from cairn.session import shared_folder
 
 # What stands for a missing value, and what affirms or denies.
 PLACEHOLDERS = ["", "-", "–", "—", "--", "n/a", "na", "none", "null", "nil", "?", "tbd", "tba", "tbc", "unknown", "not stated", "not known", "not available", "not applicable", "see drawing", "unspecified", "未知", "不详", "暂无", "无"]
@@ -46,7 +47,7 @@ def facts(records: DataFrame, relations: DataFrame, attr_schema: DataFrame) -> D
     """family, attr, vtype, lo, hi, list, txt: one row per stated value; numbers in unit_std."""
     q = harmonise(records, attr_schema)
     usable = (F.size("std") > 0) & ~F.exists("std", lambda x: x.isNull())
-    lists = F.when(F.col("vtype") == "quantity_options", F.col("std"))
+    lists = F.when(F.col("vtype") == "quantity_options", F.array_sort(F.array_distinct("std")))
     quantity = q.filter(usable & (F.coalesce("family", F.lit("")) != "")).select(
         "record_id", "family", "attr", "vtype",
         F.when(lists.isNull(), F.array_min("std")).alias("lo"), F.when(lists.isNull(), F.array_max("std")).alias("hi"),
@@ -78,30 +79,54 @@ def facts(records: DataFrame, relations: DataFrame, attr_schema: DataFrame) -> D
     return quantity.unionByName(rest).unionByName(rel)
 
 
-def cells(records: DataFrame, relations: DataFrame, attr_schema: DataFrame) -> DataFrame:
-    """family, attr -> value, lo, hi, items, n_rows, differs; hash-partitioned by family."""
+def _apart(lo, hi):
+    return (hi - lo) > 0.02 * F.greatest(F.abs(lo), F.abs(hi)) * (1 + 1e-9)
+
+
+def _lists_apart(votes: DataFrame) -> DataFrame:
+    """family, attr of cells whose lists have other lengths or, at one place, figures more than 2 % apart."""
+    lists = votes.filter(F.col("vtype") == "quantity_options").select("family", "attr", F.size("_v.items").alias("size"), F.posexplode("_v.items").alias("at", "x"))
+    place = lists.groupBy("family", "attr", "at").agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("size").alias("s1"), F.max("size").alias("s2"))
+    return place.groupBy("family", "attr").agg(F.bool_or(_apart(F.col("x1"), F.col("x2")) | (F.col("s1") != F.col("s2"))).alias("lists_differ"))
+
+
+def cells(records: DataFrame, relations: DataFrame, attr_schema: DataFrame, lists: bool = True) -> DataFrame:
+    """family, attr -> value, n_rows, differs. lists=False: cells of lists are not compared."""
     f = facts(records, relations, attr_schema).withColumn("_id", F.coalesce("record_id", F.lit("")))
     f = f.withColumn("_v", F.struct(F.col("lo"), F.col("hi"), F.col("items"), F.regexp_replace("txt", r"\s+", "").alias("key"), F.col("txt")))
-    votes = f.repartition("family").groupBy("family", "attr", "vtype", "_v").agg(F.count_distinct("_id").alias("n"))
-    apart = lambda lo, hi: (hi - lo) > 0.02 * F.greatest(F.abs(lo), F.abs(hi)) * (1 + 1e-9)
+    # a record delivered twice counts once; the first exchange is on the record too, so no family is one task
+    votes = f.groupBy("family", "attr", "vtype", "_v", "_id").agg(F.lit(1).alias("_one")).groupBy("family", "attr", "vtype", "_v").agg(F.count("*").alias("n"))
     g = votes.groupBy("family", "attr", "vtype").agg(
         F.max_by("_v", F.struct("n", F.hash("_v"))).alias("v"), F.sum("n").alias("n_rows"),
         F.min("_v.lo").alias("lo1"), F.max("_v.lo").alias("lo2"), F.min("_v.hi").alias("hi1"), F.max("_v.hi").alias("hi2"),
-        F.min("_v.key").alias("k1"), F.max("_v.key").alias("k2"), F.min("_v.items").alias("i1"), F.max("_v.items").alias("i2"),
+        F.min("_v.key").alias("k1"), F.max("_v.key").alias("k2"),
     )
+    if lists:
+        g = g.join(_lists_apart(votes), ["family", "attr"], "left")
     heat = F.col("unit_std") == "°C"
     units = attr_schema.select(F.col("attribute").alias("attr"), "unit_std", "is_multi_valued")
-    g = g.join(units, "attr")
-    quantity = F.when(heat, (F.col("lo2") - F.col("lo1") > 1 + 1e-9) | (F.col("hi2") - F.col("hi1") > 1 + 1e-9)).otherwise(apart(F.col("lo1"), F.col("lo2")) | apart(F.col("hi1"), F.col("hi2")))
+    g = g.join(F.broadcast(units), "attr")  # the rows of a schema
+    quantity = F.when(heat, (F.col("lo2") - F.col("lo1") > 1 + 1e-9) | (F.col("hi2") - F.col("hi1") > 1 + 1e-9)).otherwise(_apart(F.col("lo1"), F.col("lo2")) | _apart(F.col("hi1"), F.col("hi2")))
     differs = (
         F.when(F.col("vtype").isin("quantity", "quantity_range"), quantity)
         .when(F.col("vtype").isin("count", "year"), F.col("lo1") != F.col("lo2"))
-        .when(F.col("vtype") == "quantity_options", F.col("i1") != F.col("i2"))
+        .when(F.col("vtype") == "quantity_options", F.col("lists_differ") if lists else F.lit(None).cast("boolean"))
         .otherwise(F.col("k1") != F.col("k2"))
     )
-    return g.select("family", "attr", "vtype", "is_multi_valued", "v", "n_rows", F.coalesce(differs, F.lit(False)).alias("differs")).repartition("family")
+    return g.select("family", "attr", "vtype", "is_multi_valued", "v", "n_rows", F.coalesce(differs, F.lit(False)).alias("differs"))
 
 
+def _narrow_files(c: DataFrame, records: DataFrame) -> DataFrame:
+    """The cells, and one row for every family, written once into the shared folder, partitioned by attribute."""
+    everyone = records.select(F.lower(F.trim("family_id")).alias("family")).filter(F.coalesce("family", F.lit("")) != "").distinct().withColumn("attr", F.lit(_ALL))
+    both = c.unionByName(everyone, allowMissingColumns=True)
+    path = shared_folder(c.sparkSession, "cells")
+    both.write.partitionBy("attr").parquet(path)
+    return c.sparkSession.read.schema(both.schema).parquet(path)
+
+
+_ALL = "*"
+_GROUP = 4
 _TYPED = {
     "quantity": lambda: F.col("v.lo"),
     "quantity_range": lambda: F.struct(F.col("v.lo").alias("lower"), F.col("v.hi").alias("upper")),
@@ -120,28 +145,31 @@ def wide(records: DataFrame, relations: DataFrame, attr_schema: DataFrame, quali
     quality adds to each column an <attribute>__differs flag: the rows state two or more different values.
     """
     schema = [(r.attribute, r.vtype) for r in attr_schema.select("attribute", "vtype").orderBy("attribute").collect()]  # 29 rows, fixed
-    base = cut(cells(records, relations, attr_schema))
+    base = _narrow_files(cells(records, relations, attr_schema, quality), records)
+    return _combined(base, schema, [a for a, _ in schema] if quality else [])
+
+
+def _combined(base: DataFrame, schema: list[tuple], flagged: list[str]) -> DataFrame:
+    """The narrow tables of the cells, joined."""
+    everyone = base.filter(F.col("attr") == _ALL).select("family")
     narrow = []
-    for type_ in dict.fromkeys(v for _, v in schema):
-        own = base.filter(F.col("vtype") == type_)
-        aggs = []
-        for attr in (a for a, v in schema if v == type_):
-            aggs.append(F.max(F.when(F.col("attr") == attr, _TYPED[type_]())).alias(attr))
-            if quality:
-                aggs.append(F.coalesce(F.bool_or((F.col("attr") == attr) & F.col("differs")), F.lit(False)).alias(f"{attr}__differs"))
-        narrow.append(own.groupBy("family").agg(*aggs))
-    everyone = records.select(F.lower(F.trim("family_id")).alias("family")).filter(F.coalesce("family", F.lit("")) != "").distinct()
-    narrow.append(everyone)
-    while len(narrow) > 1:  # balanced: neighbours first, so no side is wider than half of what is joined so far
-        pairs = [narrow[i : i + 2] for i in range(0, len(narrow), 2)]
-        narrow = [reduce(lambda a, b: a.join(b, "family", "full"), p) for p in pairs]
-    columns = [c for a, _ in schema for c in ([a, f"{a}__differs"] if quality else [a])]
-    return narrow[0].select(F.col("family").alias("family_id"), *columns)
+    for attr, type_ in schema:
+        flag = [F.col("differs").alias(f"{attr}__differs")] if attr in flagged else []
+        narrow.append(base.filter(F.col("attr") == attr).select("family", _TYPED[type_]().alias(attr), *flag))
+    outer = lambda a, b: a.join(b, "family", "left")
+    tree = [reduce(outer, narrow[i : i + _GROUP], everyone) for i in range(0, max(len(narrow), 1), _GROUP)]
+    while len(tree) > 1:  # balanced: neighbours first, so no side is wider than half of what is joined so far
+        tree = [reduce(outer, tree[i : i + 2]) for i in range(0, len(tree), 2)]
+    one = lambda a: [F.col(a), *([F.coalesce(f"{a}__differs", F.lit(False)).alias(f"{a}__differs")] if a in flagged else [])]
+    return tree[0].select(F.col("family").alias("family_id"), *[c for a, _ in schema for c in one(a)])
 
 
 def differing_cells(records: DataFrame, relations: DataFrame, attr_schema: DataFrame) -> DataFrame:
     """p3_found: cells of the wide table, of single-valued attributes, with two or more different values."""
-    w = wide(records, relations, attr_schema, quality=True)
-    single = [r.attribute for r in attr_schema.filter(~F.col("is_multi_valued")).select("attribute").orderBy("attribute").collect()]  # 24 rows, fixed
-    flagged = F.filter(F.array(*[F.when(F.col(f"{a}__differs"), F.lit(a)) for a in single]), lambda a: a.isNotNull())
-    return w.select("family_id", F.explode(flagged).alias("attribute"))
+    schema = attr_schema.select("attribute", "vtype", "is_multi_valued").orderBy("attribute").collect()  # 29 rows, fixed
+    single = [r.attribute for r in schema if r.is_multi_valued is False]
+    lists = any(r.vtype == "quantity_options" and r.is_multi_valued is False for r in schema)
+    base = _narrow_files(cells(records, relations, attr_schema, lists), records)
+    w = _combined(base, [(r.attribute, r.vtype) for r in schema], single)
+    flags = F.filter(F.array(*[F.when(F.col(f"{a}__differs"), F.lit(a)) for a in single]), lambda a: a.isNotNull())
+    return w.select("family_id", F.explode(flags).alias("attribute"))
