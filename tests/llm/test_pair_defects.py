@@ -25,13 +25,30 @@ def model(pairs):
 def test_held_out_accuracy(model, pairs):
     """Synthetic defects made from pairs that the fit has not seen."""
     sound = [p for p, v in zip(pairs[350:], P.judge(model, [p[0] for p in pairs[350:]], [p[1] for p in pairs[350:]])) if v is None]
-    data, label, _ = P.synthetic(sound, seed=99)
+    data, label, _, _ = P.synthetic(sound, seed=99)
     got = P.judge(model, [q for q, _ in data], [a for _, a in data])
     want = [None if k < 0 else P.LABELS[k] for k in label]
     right = sum(g == w for g, w in zip(got, want))
     assert right / len(want) > 0.93, collections.Counter((w, g) for g, w in zip(got, want) if g != w).most_common(8)
 
 
+def test_recall_per_label(model, pairs):
+    """At least 98 of 100 planted defects of each type are found; some of the answers taken for sound are defective themselves."""
+    sound = [p for p, v in zip(pairs[350:], P.judge(model, [p[0] for p in pairs[350:]], [p[1] for p in pairs[350:]])) if v is None]
+    data, label, _, _ = P.synthetic(sound, seed=5)
+    got = P.judge(model, [q for q, _ in data], [a for _, a in data])
+    for k, name in enumerate(P.LABELS):
+        own = [g == name for g, x in zip(got, label) if x == k]
+        assert sum(own) >= 0.98 * len(own), (name, sum(own), len(own))
+    fine = [g is None for g, x in zip(got, label) if x < 0]
+    assert sum(fine) >= 0.96 * len(fine), (sum(fine), len(fine))
+
+
+def test_nothing_learnt_finds_nothing(model, pairs):
+    q, a = [p[0] for p in pairs] + [Q], [p[1] for p in pairs] + [None]
+    assert set(P.judge(P.fit([]), q, a)) == {None} == set(P.judge({"w": model["w"] * 0}, q, a))
+
+
 Q, ZQ = "What is the peak power of the Veltor AAA-100?", "Veltor AAA-100的峰值功率是多少？"
 CASES = [
     (Q, None, "empty"), (Q, "", "empty"), (Q, "​\n", "empty"), (Q, "<answer></answer>", "empty"), (Q, "...", "empty"),
@@ -39,6 +56,7 @@ CASES = [
     (Q, "I'm sorry, but I can't help with that request.", "refusal"), (ZQ, "抱歉，我无法回答这个问题。", "refusal"),
     (Q, Q, "copy"), (Q, "> " + Q, "copy"), (ZQ, "**" + ZQ + "**", "copy"), (Q, "You asked: " + Q, "copy"),
     (Q, "Veltor AAA-100的峰值功率为12 kW。该数值取自产品资料，与试验报告一致。", "language"), (ZQ, "The peak power of Veltor AAA-100 is 12 kW. This figure is taken from the data sheet.", "language"),
+    (Q, "Según la ficha técnica, el valor de Veltor AAA-100 es 12 kW y las pruebas lo confirmaron.", "language"), (Q, "Согласно описанию, значение составляет 12 kW, испытания это подтвердили.", "language"), (ZQ, "資料によると、Veltor AAA-100の値は12 kWであり、試験でも確認されています。", "language"), (ZQ, "Laut Datenblatt beträgt der gesuchte Wert 12 kW, und die Prüfung hat ihn bestätigt.", "language"),
     (Q, "12 kW", None), (Q, "The peak power of Veltor AAA-100 is 12 kW.", None), (Q, Q + "\nPeak power: 12 kW.", None), (ZQ, "12 kW", None), (ZQ, "答案是 12 kW。（peak power）", None), (Q, "The sources do not record the peak power of Veltor AAA-100.", None),
 ]
 
