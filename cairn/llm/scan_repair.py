@@ -3,13 +3,17 @@
 Method. Each document's lines are first told apart by their layout (title, section heading, running
 header, page number, list value, body); that needs only the document itself. Words then are judged by the whole
 corpus in SQL: every word has an anagram hash, the sum of its characters' hashes, so a confusion of
-characters shifts the hash by a fixed difference whatever the word. A word that clean articles never use is
-joined, difference by difference, with frequent words of the shifted hash, candidates are verified by
-putting the confusion back, and ranked by frequency. A divided word is judged by hyphen evidence: how often
+characters shifts the hash by a fixed difference whatever the word. Which confusions there are is learnt: rare words and
+frequent words that are equal but for one or two characters at one place vote for what they differ in, and differences
+that clean words show as well are left out; a short list of well-known confusions counts as learnt before. A word that clean
+articles never use then is joined with the frequent words of the shifted hashes (two confusions meet half way),
+candidates are verified at their places, and ranked by frequency. A divided word is judged by hyphen evidence: how often
 the corpus writes the joined form and how often the hyphenated one.
 
-Scale. One shuffle counts words (partial aggregates; a hot document is many rows, never one group), joins are on the hash
-of distinct words only, never on occurrences twice. Whole texts are processed; a document is one row.
+Scale. One shuffle counts words (partial aggregates; a hot document is many rows, never one group), all joins are equi-joins on
+hashes of distinct words, never on occurrences twice. A word has as many rows as it has places, or confusions that may be in
+it. The learnt table has pairs of one or two characters, at least five words each. Whole texts are processed; a document is
+one row, its layout takes time in proportion to its lines.
 
 Defined results. Null and blank texts: no lines. The same document fetched twice (equal id and text) gives one set of
 lines; equal id with another text gives both, lines counted in each. A word that no known confusion explains stays.
@@ -18,6 +22,8 @@ lines; equal id with another text gives both, lines counted in each. A word that
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +40,7 @@ CONFUSIONS = [
     ("vv", "w"), ("w", "vv"), ("li", "h"), ("o", "c"), ("tl", "d"), ("nn", "m"), ("ni", "m"), ("a", "ο"), ("í", "i"), ("è", "e"), ("ö", "o"), ("3", "e"), ("4", "a"), ("7", "t"), ("$", "s"), ("|", "l"), ("!", "l"), ("!", "i"),
 ]
 PRIME = 2147483647
+PAGE = 130  # characters: no printed line is longer
 
 _D = "0-9lIO"
 _STYLES = [
@@ -92,8 +99,37 @@ def _titles(lines: list[str], title: str | None) -> set[str]:
 
 
 def is_clean(lines: list[str]) -> bool:
-    """An article: paragraphs are single lines or there is heading markup."""
-    return any(len(x) > 130 or x.startswith("== ") for x in lines)
+    """An article, not printed lines: most of its characters stand in lines longer than a page is wide."""
+    sizes = [len(x) for x in lines]
+    return 2 * sum(n for n in sizes if n > PAGE) > sum(sizes)
+
+
+class _Nearby:
+    """Strings to be found again within two edits: of three pieces of a string one at least stays as it is."""
+
+    def __init__(self, items: list[tuple[str, int]]) -> None:
+        self.pieces: dict[tuple, list] = {}
+        for s, i in items:
+            for k, (a, b) in enumerate(self._cuts(len(s))):
+                self.pieces.setdefault((len(s), k, s[a:b]), {}).setdefault(s, []).append(i)
+
+    @staticmethod
+    def _cuts(n: int) -> list[tuple[int, int]]:
+        return [(0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)]
+
+    def near(self, s: str) -> Iterator[tuple[str, list[int]]]:
+        """The strings within two edits of s and where they are."""
+        seen = set()
+        for n in range(max(0, len(s) - 2), len(s) + 3):
+            for k, (a, b) in enumerate(self._cuts(n)):
+                for move in (-2, -1, 0, 1, 2):
+                    if a + move < 0:
+                        continue
+                    for t, at in self.pieces.get((n, k, s[a + move : b + move]), {}).items():
+                        if t not in seen:
+                            seen.add(t)
+                            if _near(s, t, 2):
+                                yield t, at
 
 
 def line_kinds(text: str, title: str | None) -> list[str]:
@@ -106,7 +142,8 @@ def line_kinds(text: str, title: str | None) -> list[str]:
     if not full:
         return kinds
     stripped = [x.strip() for x in lines]
-    lengths = sorted(len(lines[i].rstrip()) for i in full)
+    lengths = [len(lines[i].rstrip()) for i in full]
+    lengths = sorted([n for n in lengths if n <= PAGE] or lengths)
     width = lengths[min(len(lengths) - 1, int(len(lengths) * 0.97))]
     names = _titles(lines, title)
 
@@ -171,11 +208,12 @@ def line_kinds(text: str, title: str | None) -> list[str]:
         if j is None or kinds[j] != "body" or len(s) + 1 + len(after) <= width - 1:
             kinds[i] = "header" if _at_edge(i, kinds) or _all_capitals(s) else "maybe"
     # what stands outside the text in two places, or resembles a header, is one
-    heads = {stripped[i].lower() for i in full if kinds[i] == "header"}
     maybe = [i for i in full if kinds[i] == "maybe"]
+    heads = _Nearby([(x, -1) for x in {stripped[i].lower() for i in full if kinds[i] == "header"}] if maybe else [])
+    others = _Nearby([(stripped[i].lower(), i) for i in maybe])
     for i in maybe:
         s = stripped[i].lower()
-        if any(_near(s, h, 2) for h in heads) or any(_near(s, stripped[j].lower(), 2) for j in maybe if abs(j - i) > 5):
+        if any(True for _ in heads.near(s)) or any(at[0] < i - 5 or at[-1] > i + 5 for _, at in others.near(s)):
             kinds[i] = "header"
         elif not stripped[i][:1].isupper():
             kinds[i] = "body"
@@ -205,19 +243,24 @@ def _loose_numbers(loose, kinds, stripped, full, width) -> None:
         for (i, v), (j, w) in zip(own, own[1:]):
             if w == v + 1:
                 good |= {i, j}
+        rising, falling = Counter(v - k for k, (_, v) in enumerate(own)), Counter(v + k for k, (_, v) in enumerate(own))
         for k, (i, v) in enumerate(own):
-            before = next((x for x in reversed([x for x in full if x < i]) if kinds[x] in ("body", "heading", "value")), None)
+            at = bisect_left(full, i) - 1
+            while at >= 0 and kinds[full[at]] not in ("body", "heading", "value"):
+                at -= 1
+            before = full[at] if at >= 0 else None
             ended = before is None or stripped[before][-1:] in ".:" or kinds[before] != "body"
             room = before is not None and len(stripped[before]) + 1 + len(stripped[i]) <= width
-            if i in good or (len(own) == 1 and (ended or room)) or any(abs(v - w) == abs(k - m) for m, (_, w) in enumerate(own) if m != k):
+            if i in good or (len(own) == 1 and (ended or room)) or rising[v - k] > 1 or falling[v + k] > 1:
                 kinds[i] = "page_number"
             elif style == "bare":
                 kinds[i] = "value"
         if style == "bare":
             sure = {v for i, v in own if kinds[i] == "page_number"}
+            listed_at = {i: p[1] for i, p, listed in loose if listed}
             for i, p, listed in loose:
                 if listed and p[0] == "bare" and sure and (p[1] - 1 in sure or p[1] + 1 in sure) and p[1] not in sure and (i + 1 >= len(kinds) or kinds[i + 1] == "blank" or kinds[i + 1] == "header"):
-                    near = [v for j, q, li in loose if li and 0 < abs(j - i) <= 2 for v in [q[1]]]
+                    near = [listed_at[j] for j in (i - 2, i - 1, i + 1, i + 2) if j in listed_at]
                     if not near or all(p[1] < v or p[1] > 3 * v for v in near):
                         kinds[i] = "page_number"
 
@@ -231,8 +274,8 @@ def _tail(line: str) -> tuple[int, str, str] | None:
     s = line.rstrip()
     if not s or s[-1] not in _HYPHENS:
         return None
-    word = s.split()[-1] if len(s) < 400 else s[-400:].split()[-1]
-    return (len(s) - len(word), word[:-1], s[-1]) if len(word) > 1 and word[-2] not in _HYPHENS and len(word) < 400 else None
+    word = s.rsplit(None, 1)[-1]
+    return (len(s) - len(word), word[:-1], s[-1]) if len(word) > 1 and word[-2] not in _HYPHENS else None
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,40 +330,102 @@ def anagram_hash(word):
     return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a + F.pmod(F.xxhash64(c), F.lit(PRIME))) % PRIME))
 
 
-def _confusions(spark) -> DataFrame:
-    c = spark.createDataFrame(CONFUSIONS, "seen string, meant string")
-    return c.select("seen", "meant", F.pmod(anagram_hash(F.col("meant")) - anagram_hash(F.col("seen")), F.lit(PRIME)).alias("shift"))
+def _frames(words: DataFrame, col: str) -> DataFrame:
+    """Each way to leave one or two neighbouring characters out of a word of which four remain: key, mid."""
+    c, size = F.col(col), F.length(col)
 
+    def leave(span: int):
+        one = lambda p: F.struct(F.xxhash64(p, F.substr(c, F.lit(1), p), F.substr(c, p + span + 1)).alias("key"), F.substr(c, p + 1, F.lit(span)).alias("mid"), p.alias("p"))
+        return F.when(size >= span + 4, F.transform(F.sequence(F.lit(0), size - span), one)).otherwise(F.array())
 
-def corrections(counts: DataFrame, least: int = 3, ratio: float = 4.0) -> DataFrame:
-    """bad -> good, at: words that no clean article uses, explained by one or two known confusions of a frequent word.
+    # the position is in the key, so that both sides are cut at the same place
+    f = words.select("*", F.explode(F.concat(leave(1), leave(2))).alias("_f")).select("*", "_f.*").drop("_f")
+    return f
 
+
+def _alternations(words: DataFrame, good: DataFrame, ratio: float) -> DataFrame:
+    """seen, meant, support: in how many words of `words` the most frequent good word differs by just that."""
+    w = _frames(words.select(F.col("word").alias("w"), F.col("n").alias("n_w")), "w")
+    g = _frames(good.select(F.col("good").alias("g"), "n_good"), "g").withColumnRenamed("mid", "meant").drop("p")
+    both = w.join(g, "key").filter((F.col("n_good") >= ratio * F.col("n_w")) & (F.col("mid") != F.col("meant")))
+    rest = lambda c, mid: F.concat(F.substr(F.col(c), F.lit(1), F.col("p")), F.lit(" "), F.substr(F.col(c), F.col("p") + F.length(mid) + 1))
+    least = (F.left("mid", F.lit(1)) != F.left("meant", F.lit(1))) & (F.right("mid", F.lit(1)) != F.right("meant", F.lit(1)))  # nothing in it that stays
+    both = both.filter(least & (rest("w", "mid") == rest("g", "meant")))
+    best = both.groupBy("w").agg(F.max_by(F.struct(F.col("mid").alias("seen"), "meant"), F.struct("n_good", "g")).alias("c"))
+    return best.groupBy("c.seen", "c.meant").agg(F.count("*").alias("support"))
+
+
+def confusions(counts: DataFrame, good: DataFrame, bad: DataFrame, support: int = 5, lift: float = 3.0, ratio: float = 4.0, prior: list = CONFUSIONS) -> list[tuple[str, str, int]]:
+    """(seen, meant, difference of the hash) that recognition confuses, learnt from the corpus, and those known before.
+
+    A confusion is learnt if it explains at least `support` different rare words, and `lift` times as many as the same
+    difference lies between words of clean articles (so that endings like -s and -d are none).
+    """
+    rare = _alternations(bad.select(F.col("bad").alias("word"), F.col("n_bad").alias("n")), good, ratio)
+    clean = counts.filter((F.col("n_clean") > 0) & F.col("word").rlike(r"^\p{L}+$"))
+    natural = _alternations(clean, good, ratio).withColumnRenamed("support", "natural")
+    size = bad.agg(F.count("*").alias("n_rare")).crossJoin(F.broadcast(clean.agg(F.count("*").alias("n_words"))))  # one row each
+    t = rare.filter(F.col("support") >= support).join(natural, ["seen", "meant"], "left").crossJoin(F.broadcast(size))
+    t = t.filter(F.col("support") * F.col("n_words") >= lift * F.coalesce("natural", F.lit(0)) * F.col("n_rare"))
+    before = counts.sparkSession.createDataFrame(prior, "seen string, meant string")
+    both = t.select("seen", "meant").unionByName(before).distinct()
+    both = both.withColumn("shift", F.pmod(anagram_hash(F.col("meant")) - anagram_hash(F.col("seen")), F.lit(PRIME)))
+    return sorted(tuple(r) for r in both.collect())  # pairs of one or two characters: bounded by the alphabet
+
+
+def _shifted(words: DataFrame, col: str, hash_: str, table: list[tuple], forward: bool) -> DataFrame:
+    """words, each with every confusion that may be in it (forward: was read, else: was meant): seen, meant, target hash."""
+    lit = lambda s, m, by: F.struct(F.lit(s).alias("seen"), F.lit(m).alias("meant"), F.lit(by).cast("long").alias("shift"))
+    own = F.filter(F.array(*[lit(*c) for c in table]), lambda x: F.contains(F.col(col), x["seen" if forward else "meant"]))
+    j = words.select("*", F.explode(own).alias("_c")).select("*", "_c.*").drop("_c")
+    return j.withColumn("target", F.pmod(F.col(hash_) + (F.col("shift") if forward else -F.col("shift")), F.lit(PRIME)))
+
+
+def corrections(counts: DataFrame, least: int = 3, ratio: float = 4.0, prior: list = CONFUSIONS) -> DataFrame:
+    """bad -> good, at: words that no clean article uses, explained by one or two confusions of a frequent word.
+
+    A confusion shifts the anagram hash of any word by the same difference, so a rare word meets the frequent ones by its hash
+    plus that difference; two confusions meet half way, the rare word plus one difference and the frequent one minus
+    another. Then the confusions are looked for at their places, since words with equal hashes may be anagrams.
     counts: word, n, n_clean. least: how often the right word must occur; ratio: how much more often than the bad one.
     """
-    spark = counts.sparkSession
-    shifts = F.broadcast(_confusions(spark))  # about 50 rows
-    good = counts.filter((F.col("n") >= least) & F.col("word").rlike(r"^\p{IsLatin}{3,30}$")).select(F.col("word").alias("good"), F.col("n").alias("n_good"), anagram_hash(F.col("word")).alias("h"))
-    bad = counts.filter((F.col("n_clean") == 0) & F.length("word").between(3, 32)).select(F.col("word").alias("bad"), F.col("n").alias("n_bad"))
-    bad = cut(bad.withColumn("h0", anagram_hash(F.col("bad"))))
-
-    def once(words: DataFrame, col: str, hcol: str) -> DataFrame:
-        """Every way to put one confusion back: form, at, h."""
-        j = words.join(shifts, F.contains(F.col(col), F.col("seen")))
-        places = F.filter(F.sequence(F.lit(1), F.length(col)), lambda p: F.substr(F.col(col), p.cast("int"), F.length("seen")) == F.col("seen"))
-        j = j.withColumn("p", F.explode(places))
-        form = F.concat(F.substr(F.col(col), F.lit(1), F.col("p") - 1), F.col("meant"), F.substr(F.col(col), F.col("p") + F.length("seen")))
-        return j.withColumn("form", form).withColumn("hs", F.pmod(F.col(hcol) + F.col("shift"), F.lit(PRIME)))
-
-    one = once(bad, "bad", "h0").select("bad", "n_bad", "form", "hs", F.col("p").cast("int").alias("at"))
-    hit = one.join(good, one["hs"] == good["h"]).filter((F.col("form") == F.col("good")) & (F.col("n_good") >= ratio * F.col("n_bad")))
-    hit = hit.select("bad", "good", "n_good", "at")
-    first = cut(hit.groupBy("bad").agg(F.max_by(F.struct("good", "at"), F.struct("n_good", "good")).alias("c")).select("bad", "c.good", "c.at"))
-    rest = one.join(first, "bad", "left_anti").filter(F.length("bad") >= 5)
-    again = rest.select("bad", "n_bad", F.col("form").alias("mid"), F.col("hs").alias("h1"), F.col("at").alias("at1"))
-    again = once(again, "mid", "h1").select("bad", "n_bad", "form", "hs", F.least("at1", F.col("p").cast("int")).alias("at"))
-    hit2 = again.join(good, again["hs"] == good["h"]).filter((F.col("form") == F.col("good")) & (F.col("n_good") >= 2 * ratio * F.col("n_bad")) & (F.col("good") != F.col("bad")))
-    second = hit2.groupBy("bad").agg(F.max_by(F.struct("good", "at"), F.struct("n_good", "good")).alias("c")).select("bad", "c.good", "c.at")
-    return first.unionByName(second).filter(F.col("bad") != F.col("good"))
+    good = cut(counts.filter((F.col("n") >= least) & F.col("word").rlike(r"^\p{IsLatin}{3,}$")).select(F.col("word").alias("good"), F.col("n").alias("n_good"), anagram_hash(F.col("word")).alias("h_good")))
+    bad = counts.filter((F.col("n_clean") == 0) & (F.length("word") >= 3)).select(F.col("word").alias("bad"), F.col("n").alias("n_bad"))
+    bad = cut(bad.withColumn("h_bad", anagram_hash(F.col("bad"))))
+    table = confusions(counts, good, bad, ratio=ratio, prior=prior)
+    # what lies between the equal beginning and the equal end of both words
+    size = F.least(F.length("bad"), F.length("good"))
+    same = lambda at: F.coalesce(F.get(F.filter(F.sequence(F.lit(1), size), lambda i: at(F.col("bad"), i) != at(F.col("good"), i)), F.lit(0)) - 1, size)
+    front = same(lambda c, i: F.substr(c, i, F.lit(1)))
+    back = same(lambda c, i: F.substr(c, F.length(c) - i + 1, F.lit(1)))
+    inner = lambda c: F.substr(F.col(c), F.col("front") + 1, F.length(c) - F.col("front") - F.col("back"))
+
+    def differing(df: DataFrame) -> DataFrame:
+        df = df.withColumn("front", front).withColumn("back", F.least(back, size - F.col("front")))
+        return df.withColumn("m_bad", inner("bad")).withColumn("m_good", inner("good"))
+
+    one = _shifted(bad, "bad", "h_bad", table, True)
+    hit = one.join(good, one["target"] == good["h_good"]).filter((F.col("n_good") >= ratio * F.col("n_bad")) & (F.col("good") != F.col("bad")))
+    hit = differing(hit.select("bad", "good", "n_good", "seen", "meant")).filter((F.col("m_bad") == F.col("seen")) & (F.col("m_good") == F.col("meant")))
+    pick = F.max_by(F.struct("good", (F.col("front") + 1).cast("int").alias("at")), F.struct("n_good", "good")).alias("c")
+    first = cut(hit.groupBy("bad").agg(pick).select("bad", "c.good", "c.at"))
+    left = bad.join(first, "bad", "left_anti")
+    a = _shifted(left, "bad", "h_bad", table, True).select("bad", "n_bad", "target", F.col("seen").alias("s1"), F.col("meant").alias("m1"))
+    b = _shifted(good, "good", "h_good", table, False).select("good", "n_good", "target", F.col("seen").alias("s2"), F.col("meant").alias("m2"))
+    two = a.join(b, "target").filter((F.col("n_good") >= 2 * ratio * F.col("n_bad")) & (F.col("good") != F.col("bad")))
+    two = two.filter(F.left("bad", F.lit(1)).isNotNull() & (F.length("bad") - F.length("s1") - F.length("s2") >= 3))  # three characters stay as they are
+    two = differing(two)
+
+    def ends(x: str, y: str):
+        """The differing part begins with confusion x, ends with y, and is the same between them."""
+        between = lambda c, p, q: F.substr(F.col(c), F.length(p) + 1, F.length(c) - F.length(p) - F.length(q))
+        begins = F.startswith("m_bad", f"s{x}") & F.startswith("m_good", f"m{x}")
+        finishes = F.endswith("m_bad", f"s{y}") & F.endswith("m_good", f"m{y}")
+        fits = (F.length("m_bad") >= F.length(f"s{x}") + F.length(f"s{y}")) & (F.length("m_good") >= F.length(f"m{x}") + F.length(f"m{y}"))
+        return begins & finishes & fits & (between("m_bad", f"s{x}", f"s{y}") == between("m_good", f"m{x}", f"m{y}"))
+
+    second = two.filter(ends("1", "2") | ends("2", "1")).groupBy("bad").agg(pick).select("bad", "c.good", "c.at")
+    return first.unionByName(second)
 
 
 def judged(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -65,3 +65,39 @@ def test_anagram_hash_shift(spark):
 
 def test_empty(corpus):
     assert S.found(corpus.limit(0)).count() == 0
+
+
+def test_one_long_line_changes_nothing_else(spark):
+    """A line wider than a page does not turn a scan into an article."""
+    long = "a remark without any end " * 6
+    assert len(long) > 131
+    two = {(r.line_no, r.defect) for r in S.found(spark.createDataFrame([doc("c1", CLEAN), doc("s1", SCAN + "\n" + long)], COLUMNS)).filter("id = 's1'").collect()}
+    assert {x for x in two if x[0] <= 22} == {(4, "hyphen"), (5, "hyphen"), (5, "misread"), (8, "page_number"), (10, "header"), (15, "hyphen"), (15, "misread"), (16, "page_number"), (17, "header"), (19, "misread"), (22, "page_number")}
+    assert S.line_kinds(SCAN + "\n" + long, None)[:22] == S.line_kinds(SCAN, None)
+
+
+def test_a_confusion_nobody_listed_is_learnt(spark):
+    words = "transmitter maintenance interference display moving target detection station reflector resolution".split()
+    clean = "\n".join(["== A ==", *[" ".join(words) + ". " + "The operators noticed it at the station again and again. " * 3] * 8])
+    scan = "Veltor AAA-100 Operator Manual\n\n" + "\n".join(f"the operators noticed the {w.replace('t', 'þ', 1)} at the station" for w in words if "t" in w)
+    got = {r.line_no for r in S.found(spark.createDataFrame([doc("c", clean), doc("s", scan)], COLUMNS)).filter("id = 's' and defect = 'misread'").collect()}
+    assert got == set(range(3, 3 + sum("t" in w for w in words)))
+    assert S.PRIME and not any("þ" in c for c in S.CONFUSIONS)
+
+
+def test_very_long_words_are_words(spark):
+    word = "electro" * 8 + "magnetic"
+    clean = "\n".join(["== A ==", *[f"The {word} display was replaced during maintenance of the station while operators noticed it. " * 2] * 6])
+    scan = f"Veltor AAA-100 Operator Manual\n\nthe {word[:-1]}e display was replaced\nduring maintenance of the station while the {word[:20]}-\n{word[20:]} display was replaced during maintenance of the station."
+    got = {(r.line_no, r.defect) for r in S.found(spark.createDataFrame([doc("c", clean), doc("s", scan)], COLUMNS)).filter("id = 's'").collect()}
+    assert got == {(3, "misread"), (4, "hyphen")}
+
+
+def test_near_strings_by_pieces():
+    import random
+
+    rng = random.Random(1)
+    pool = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    found = S._Nearby([(s, i) for i, s in enumerate(pool)])
+    for s in pool[:60] + ["", "a", "abcabcabc"]:
+        assert {t for t, _ in found.near(s)} == {t for t in pool if S._near(s, t, 2)}
