@@ -31,6 +31,7 @@ COURTESIES = ["please", "kindly", "tell", "me", "thanks", "thank", "you", "many"
 LITTLE = ["the", "a", "an", "of", "at", "on", "in", "to", "for", "its", "it", "is", "are", "s", "do", "does", "any", "that", "by", "with", "from", "as", "our", "they", "their"]
 ZH_COURTESIES = ["麻烦问一下", "麻烦您", "麻烦", "请问一下", "请问", "您好", "你好", "谢谢您", "谢谢你", "谢谢", "多谢", "急"]
 
+SIMILAR = (2, 5)  # Jaccard 0.4 as a fraction
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
@@ -41,6 +42,8 @@ def evened(question):
     q = F.regexp_replace(q, r"[\p{Cf}\p{Mn}]", "")
     q = F.regexp_replace(q, "|".join(ZH_COURTESIES), " ")
     q = F.regexp_replace(q, r"['’]s\b", " ")
+    # a comma before exactly three digits groups thousands, any other comma between digits is a decimal point
+    q = F.regexp_replace(F.regexp_replace(q, r"(?<=\d),(?=\d{3}(?!\d))", ""), r"(?<=\d),(?=\d)", ".")
     q = F.regexp_replace(q, r"(?<![\p{L}\p{N}.])[-−](?=\d)", " neg ")
     q = F.regexp_replace(q, r"[^\p{L}\p{N}.]+|(?<!\d)\.|\.(?!\d)", " ")
     q = F.regexp_replace(q, r"([\p{IsHan}])", " $1 ")
@@ -93,8 +96,6 @@ def same_wording(a: list[str], b: list[str], dfa: list, dfb: list, rare: int = 4
     """Aligns two lists of words; every step must be equal, a slip, or a courtesy that was added."""
     n, m = len(a), len(b)
     usual = max((x[0] for x in [*dfa, *dfb]), default=0)
-    if abs(n - m) > 8:
-        return False
     free_a = [_polite(w) or (k > 0 and _han(w) and a[k - 1] == w) for k, w in enumerate(a)]
     free_b = [_polite(w) or (k > 0 and _han(w) and b[k - 1] == w) for k, w in enumerate(b)]
     reach = [[False] * (m + 1) for _ in range(n + 1)]
@@ -139,8 +140,7 @@ def _counted(texts: DataFrame, some: DataFrame) -> DataFrame:
 def classes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct evened texts with their shingles, members: id, split, source, cid)."""
     q = questions.select("id", "split", "source", evened(F.col("question")).alias("text")).filter((F.length("text") > 0) & F.col("id").isNotNull())
-    q = q.withColumn("cid", F.xxhash64("text")).withColumn("cid", F.struct(F.col("cid"), F.hash("text").alias("h")))
-    members = q.select("id", "split", "source", F.to_json("cid").alias("cid"), "text")
+    members = cut(q.select("id", "split", "source", F.concat_ws(".", F.xxhash64("text"), F.hash("text")).alias("cid"), "text"))  # read by the texts and by both sides of the pairs
     texts = members.groupBy("cid").agg(F.min("text").alias("text"), F.count("*").alias("weight"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("evaluation"))
     words = F.split("text", " ")
     squashed = F.regexp_replace("text", " ", "")
@@ -151,27 +151,33 @@ def classes(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, members.drop("text")
 
 
-def class_pairs(texts: DataFrame, threshold: float = 0.4, rare: int = 4) -> DataFrame:
-    """cid_t, cid_e: pairs of a training and an evaluation text that are the same question."""
+def similar(texts: DataFrame, threshold: tuple[int, int] = SIMILAR) -> DataFrame:
+    """cid_t, cid_e, w_t, w_e: pairs of a training and an evaluation text whose shingles are as similar as the threshold.
+
+    All bounds are whole numbers (the threshold is a fraction), so no pair at the border is lost to rounding.
+    """
+    part, whole = threshold
     g = texts.select("cid", "train", "evaluation", F.size("grams").alias("n"), F.explode("grams").alias("g"))
     freq = g.groupBy("g").agg(F.count("*").alias("df"))
     ranked = g.join(freq, "g").groupBy("cid", "train", "evaluation", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
+    keep = F.expr(f"cast(n - (n * {part} + {whole - 1}) div {whole} + 1 as int)")  # so many of the rarest meet every similar set
     prefix = ranked.select("cid", "train", "evaluation", "n", F.posexplode(F.slice("o", F.lit(1), keep)).alias("pos", "x")).select("cid", "train", "evaluation", "n", "pos", F.col("x.g").alias("g"))
     index = prefix.filter("evaluation").select(F.col("cid").alias("cid_e"), F.col("n").alias("n_e"), F.col("pos").alias("pos_e"), "g")
     probe = prefix.filter("train").select(F.col("cid").alias("cid_t"), F.col("n").alias("n_t"), F.col("pos").alias("pos_t"), "g")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_e") + F.col("n_t")))
-    met = probe.join(index, "g").filter(
-        (F.col("n_e") >= threshold * F.col("n_t")) & (F.col("n_t") >= threshold * F.col("n_e"))
-        & (F.least(F.col("n_t") - F.col("pos_t"), F.col("n_e") - F.col("pos_e")) >= 1)
-    )
+    need = F.expr(f"((n_e + n_t) * {part} + {part + whole - 1}) div {part + whole}")  # least number of common shingles
+    met = probe.join(index, "g").filter(f"n_e * {whole} >= n_t * {part} and n_t * {whole} >= n_e * {part}")
     # the first common prefix shingle bounds the overlap: what lies before it is not shared
-    met = met.groupBy("cid_t", "cid_e").agg(F.min(F.struct("pos_t", "pos_e", "n_t", "n_e")).alias("f"), F.count("*").alias("c"))
+    met = met.groupBy("cid_t", "cid_e").agg(F.min(F.struct("pos_t", "pos_e", "n_t", "n_e")).alias("f"))
     met = met.select("cid_t", "cid_e", "f.*").filter(F.least(F.col("n_t") - F.col("pos_t"), F.col("n_e") - F.col("pos_e")) >= need)
-    side = lambda s: texts.select(F.col("cid").alias(f"cid_{s}"), F.col("grams").alias(f"g_{s}"), F.col("words").alias(f"w_{s}"), F.col("weight").alias(f"k_{s}"))
-    full = met.join(side("t"), "cid_t").join(side("e"), "cid_e")
-    share = F.size(F.array_intersect("g_t", "g_e"))
-    full = cut(full.filter(share >= F.lit(threshold) * (F.size("g_t") + F.size("g_e") - share)).select("cid_t", "cid_e", "w_t", "w_e"))
+    side = lambda s: texts.select(F.col("cid").alias(f"cid_{s}"), F.col("grams").alias(f"g_{s}"), F.col("words").alias(f"w_{s}"))
+    full = met.select("cid_t", "cid_e").join(side("t"), "cid_t").join(side("e"), "cid_e")
+    full = full.withColumn("share", F.size(F.array_intersect("g_t", "g_e"))).filter(F.expr(f"share * {whole} >= (size(g_t) + size(g_e) - share) * {part}"))
+    return cut(full.select("cid_t", "cid_e", "w_t", "w_e"))
+
+
+def class_pairs(texts: DataFrame, threshold: tuple[int, int] = SIMILAR, rare: int = 4) -> DataFrame:
+    """cid_t, cid_e: pairs of a training and an evaluation text that are the same question."""
+    full = similar(texts, threshold)
     some = full.select(F.explode(F.array("cid_t", "cid_e")).alias("cid")).distinct()
     counts = _counted(texts, texts.join(some, "cid", "left_semi"))
     full = full.join(counts.select(F.col("cid").alias("cid_t"), F.col("counts").alias("d_t")), "cid_t").join(counts.select(F.col("cid").alias("cid_e"), F.col("counts").alias("d_e")), "cid_e")
@@ -183,7 +189,7 @@ def class_pairs(texts: DataFrame, threshold: float = 0.4, rare: int = 4) -> Data
     return full.filter((F.col("cid_t") == F.col("cid_e")) | same("w_t", "w_e", "d_t", "d_e")).select("cid_t", "cid_e")
 
 
-def overlaps(questions: DataFrame, threshold: float = 0.4) -> DataFrame:
+def overlaps(questions: DataFrame, threshold: tuple[int, int] = SIMILAR) -> DataFrame:
     """id_train, id_eval, split, source, source_train: every cross-split overlap."""
     texts, members = classes(questions)
     texts = cut(texts)

@@ -56,3 +56,47 @@ def test_hot_class_and_empty(spark, questions):
     same = spark.range(60).select(F.concat(F.lit("h"), "id").alias("id"), F.when(F.col("id") % 2 == 0, "train").otherwise("dev").alias("split"), F.lit("s").alias("source"), F.lit("One hot question about 7 things").alias("question"))
     assert S.found(same).count() == 900
     assert S.found(questions.limit(0)).count() == 0
+
+
+def test_border_of_the_similarity(spark):
+    """Sets of exactly the least similarity are found, whatever their sizes: same as comparing all pairs in whole numbers."""
+    import random
+
+    rng, sets = random.Random(4), []
+    for k in range(120):  # n_t + n_e is a multiple of 7 and the sets share two sevenths of it
+        total = 7 * rng.randint(1, 12)
+        both = 2 * total // 7
+        n_t = rng.randint(both, total - both)
+        own = [f"{k}_{i}" for i in range(total - both)]
+        shared, rest = own[:both], own[both:]
+        sets += [(f"t{k}", True, shared + rest[: n_t - both]), (f"e{k}", False, shared + rest[n_t - both :])]
+    rows = [(c, train, not train, [hash_(x) for x in g], ["w"]) for c, train, g in sets]
+    texts = spark.createDataFrame(rows, "cid string, train boolean, evaluation boolean, grams array<long>, words array<string>")
+    got = {(r.cid_t, r.cid_e) for r in S.similar(texts).collect()}
+    brute = {(a[0], b[0]) for a in rows if a[1] for b in rows if b[2] if 5 * len(set(a[3]) & set(b[3])) >= 2 * len(set(a[3]) | set(b[3]))}
+    assert got == brute and len(brute) >= 120
+
+
+def hash_(s):
+    import zlib
+
+    return zlib.crc32(s.encode())
+
+
+def test_many_courtesies_and_grouped_thousands(spark, questions):
+    polite = "Please, please, kindly tell me, thank you, thanks, many thanks, sorry, hello, urgent: "
+    extra = [
+        ("n1", "dev", polite + "what is the peak power of the Veltor AAA-100 at a supply voltage of 50 V?"), ("n2", "dev", "kkindly plaese thakns urgnet sorrry helllo questoin plesae thankss pleasse what is the peak power of the Veltor AAA-100 at a supply voltage of 50 V?"),
+        ("q1", "train", "What is the noise figure of the Ostrane AAA-777 at a distance of 1000 m?"), ("r1", "dev", "What is the noise figure of the Ostrane AAA-777 at a distance of 1,000 m?"),
+        ("q2", "train", "What is the gain of the Ostrane AAA-778 at 2.5 V?"), ("r2", "dev", "What is the gain of the Ostrane AAA-778 at 2,5 V?"), ("r3", "dev", "What is the gain of the Ostrane AAA-778 at 25 V?"),
+    ]
+    more = spark.createDataFrame([(i, s, "src", q, "clash") for i, s, q in extra], questions.schema)
+    got = {tuple(r) for r in S.found(questions.unionByName(more)).collect()}
+    assert {("a1", "n1"), ("q1", "r1"), ("q2", "r2")} <= got and not any("r3" in p for p in got)
+
+
+def test_word_counts_may_differ_freely():
+    a = "what peak power veltor aaa 100 supply voltage 50 v".split()
+    counts = lambda w: [[50, 50] for _ in w]
+    b = ["plaese", "kindlyy", "thankss", "questionn", "urgentt", "thanksx", "pleasee", "kindlly", "urrgent", "quesstion"] + a
+    assert S.same_wording(a, b, counts(a), counts(b)) and not S.same_wording(a, ["transmitter"] + a, counts(a), counts(a) + [[50, 50]])
