@@ -3,13 +3,16 @@
 Method. Cube-method balanced sampling. The size of the mix is the largest for which every source can give its
 share within its cap: S = min(max_repeats * tokens / share). A document of source s then occurs share * S / tokens times on
 average: the whole part of that in every case, one time more with the fraction as inclusion probability. The flight
-phase moves the probabilities of three documents at a time along the null space of the two
-constraints (tokens, documents) until one is 0 or 1. It runs block by block, each block leaves a few fractions, these
-fly again, and the landing tries every outcome for the last dozen and takes the one nearest to the token total.
+moves these probabilities along the null space of the two constraints (tokens, documents) until each is 0 or 1; steps up and down are
+drawn so that every document keeps its inclusion probability. It goes from large to small. The largest documents
+move one at a time against all smaller ones at once, whose probabilities are kept as a line alpha + beta * tokens, so that
+what a large document adds or misses is spread over everything that follows. Then the others move three at a time, block by block;
+each block leaves a few fractions, these fly again, and the landing tries every outcome for the last dozen and takes the
+one nearest to the token total. The order is the same for sources of any size: up to a block of documents goes one at a time.
 
 Scale. Documents travel as (id, tokens), never with text. Blocks are of bounded size whatever the share of a source, so a
-source with a third of all rows is many blocks; what blocks leave is a thousandth of their rows. Totals are partial
-aggregates; per source one row comes to the driver (as many as mix_targets has).
+source with a third of all rows is many blocks; what blocks leave is a thousandth of their rows. The largest documents are found
+from the counts of equal sizes. Totals are partial aggregates; per source one row comes to the driver (as many as mix_targets has).
 
 Defined results. Documents of no listed source, or of a null source, are not in the mix. Sources without tokens cannot
 contribute: the others keep their proportions. Documents without tokens are drawn like any other and add nothing.
@@ -26,21 +29,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cairn.llm.byte_bpe import VOCABULARY, count
 from cairn.session import cut
 
 BLOCK = 20_000
 LEFT = 12
-LARGE = 5.0  # times the mean of the source
 
 
 def flight(tokens: np.ndarray, p: np.ndarray, left: int, seed: int) -> np.ndarray:
-    """Probabilities after the flight: all 0 or 1 but at most `left`; totals of p and of p * tokens are kept."""
+    """Probabilities after the flight: all 0 or 1 but at most `left`, the smallest; totals of p and of p * tokens are kept."""
     rng = np.random.default_rng(seed)
+    order = np.lexsort((rng.random(len(p)), -tokens)).tolist()  # from large to small, ties by lot
     p = p.astype(float).tolist()
     t = tokens.astype(float).tolist()
-    order = rng.permutation(len(p)).tolist()
     open_ = [i for i in order if 1e-9 < p[i] < 1 - 1e-9]
     queue = iter(open_)
     active: list[int] = []
@@ -71,6 +74,48 @@ def flight(tokens: np.ndarray, p: np.ndarray, left: int, seed: int) -> np.ndarra
     return np.array(p)
 
 
+def one_by_one(tokens: np.ndarray, alpha: float, beta: float, rest: tuple, seed: int) -> tuple[np.ndarray, float, float]:
+    """Draws documents from large to small, each against all that follow; (0 or 1 each, alpha and beta of those that follow).
+
+    tokens: falling. rest: number, sum, sum of squares, least and most tokens of the documents after these. Probabilities are
+    alpha + beta * tokens. A step moves the one drawn to 0 or 1 and the line of the others so that documents and tokens keep
+    their totals; where that would leave [0, 1], so that tokens do; where that would, too, as far as it goes.
+    """
+    rng = np.random.default_rng(seed)
+    t = tokens.astype(float)
+    n0, n1, n2, least, most = (float(x or 0) for x in rest)
+    s0 = n0 + np.arange(len(t) - 1, -1, -1)
+    s1 = n1 + t.sum() - np.cumsum(t)
+    s2 = n2 + (t**2).sum() - np.cumsum(t**2)
+    low = min(t[-1] if len(t) else least, least if n0 else np.inf)
+    coins, out = rng.random(len(t)), np.zeros(len(t))
+    for i, x in enumerate(t):
+        p = min(1.0, max(0.0, alpha + beta * x))
+        hit = coins[i] < p
+        out[i] = float(hit)
+        if s0[i] < 0.5:
+            break
+        step = out[i] - p
+        high = t[i + 1] if i + 1 < len(t) else most
+        det = s0[i] * s2[i] - s1[i] ** 2
+        lines = []
+        if det > 1e-9 * s0[i] * s2[i]:
+            lines.append(((x * s1[i] - s2[i]) / det, (s1[i] - x * s0[i]) / det))
+        if s1[i] > 0:
+            lines.append((-x / s1[i], 0.0))
+        for a, b in lines:
+            # both ways must be open, or the choice between them would not be fair
+            ends = [alpha + beta * y + w * (a + b * y) for y in (low, high) for w in (1 - p, -p)]
+            if min(ends) >= -1e-12 and max(ends) <= 1 + 1e-12:
+                alpha, beta = alpha + step * a, beta + step * b
+                break
+        else:
+            if s1[i] > 0:  # larger than what follows can make up for
+                wanted = alpha * s1[i] + beta * s2[i] - step * x
+                alpha, beta = min(1.0, max(0.0, wanted / s1[i])), 0.0
+    return out, alpha, beta
+
+
 def landing(tokens: np.ndarray, p: np.ndarray, missing: float) -> np.ndarray:
     """The outcome of the last fractions (at most LEFT) nearest to the missing tokens, then to the missing documents."""
     n = len(p)
@@ -95,6 +140,23 @@ def _fly(turn: int):
     return run
 
 
+def _largest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Draws the largest documents of a source; the last dozen of a source that has no others stays for the landing."""
+    pdf = pdf.sort_values(["n_tokens", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+    one = pdf.iloc[0]
+    rest = [one[c] for c in ("n0", "n1", "n2", "least", "most")]
+    keep = LEFT if not rest[0] else 0
+    t = pdf["n_tokens"].to_numpy()
+    m = max(0, len(t) - keep)
+    tail = t[m:].astype(float)
+    if keep and len(tail):
+        rest = [len(tail), tail.sum(), (tail**2).sum(), tail.min(), tail.max()]
+    out, alpha, beta = one_by_one(t[:m], float(one["p"]), 0.0, rest, _seed(str(one["source"]), 0, 0))
+    pdf["p"] = np.concatenate([out, np.clip(alpha + beta * tail, 0.0, 1.0)])
+    pdf["alpha"], pdf["beta"] = alpha, beta
+    return pdf[[c.split()[0] for c in _FIRST.split(", ")]]
+
+
 def _land(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["h", "doc_id"], kind="stable").reset_index(drop=True)
     p = flight(pdf["n_tokens"].to_numpy(), pdf["p"].to_numpy(), LEFT, _seed(str(pdf["source"].iloc[0]), 0, 99))
@@ -108,6 +170,9 @@ def _land(pdf: pd.DataFrame) -> pd.DataFrame:
 _STATE = "source string, doc_id long, n_tokens long, p double, h long, block int, goal double"
 
 
+_FIRST = _STATE + ", alpha double, beta double"
+
+
 def plan(totals: list[tuple], targets: list[tuple]) -> dict[str, tuple[float, float]]:
     """source -> (copies of a document on average, tokens wanted). totals: (source, documents, tokens); targets: (source, share, cap)."""
     tokens = {s: t for s, _, t in totals if t}
@@ -149,20 +214,30 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFram
         if s in rates:
             r, goal = rates[s]
             base = int(r + 1e-12)
-            rows.append((s, float(base), max(0.0, r - base), goal - base * t, max(1, -(-n // BLOCK)), LARGE * t / n))
-    rate = F.broadcast(spark.createDataFrame(rows, "source string, base double, frac double, goal double, blocks int, large double"))  # one row per source of the mix
+            rows.append((s, float(base), max(0.0, r - base), goal - base * t, max(1, -(-n // BLOCK))))
+    rate = F.broadcast(spark.createDataFrame(rows, "source string, base double, frac double, goal double, blocks int"))  # one row per source of the mix
     u = counted.join(rate, "source").withColumn("h", F.xxhash64("doc_id", "n_tokens")).withColumn("block", F.pmod("h", "blocks").cast("int"))
-    # large documents are drawn first, so that small ones can make up for what they miss
-    large = u.filter(F.col("n_tokens") > F.col("large")).withColumn("p", F.col("frac"))
-    own = large.groupBy("source").agg(F.sum(F.col("frac") * F.col("n_tokens")).alias("_goal"))
-    first = cut(_draw(large.join(F.broadcast(own), "source").withColumn("goal", F.col("_goal"))))
-    drawn = first.groupBy("source").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("_drawn"))
-    small = u.filter(F.col("n_tokens") <= F.col("large"))
-    sizes = small.groupBy("source").agg(F.sum("n_tokens").alias("_small")).join(F.broadcast(drawn), "source", "left")
-    small = small.join(F.broadcast(sizes), "source").withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0.0)))  # one row per source of the mix
-    fair = F.when(F.col("frac") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("goal") / F.greatest("_small", F.lit(1))))).otherwise(F.lit(0.0))
-    second = _draw(small.withColumn("p", fair))
-    both = first.unionByName(second).join(rate.select("source", "base"), "source")
+    # the largest documents of a source, at most a block: from the size up to which that many are counted
+    sizes = counted.groupBy("source", "n_tokens").agg(F.count("*").alias("n"))
+    falling = W.partitionBy("source").orderBy(F.col("n_tokens").desc())  # distinct sizes, not documents
+    sizes = sizes.withColumn("first", F.sum("n").over(falling) <= BLOCK)
+    under = F.when(~F.col("first"), F.col("n_tokens").cast("double"))
+    many = lambda x: F.coalesce(F.sum(F.when(~F.col("first"), F.col("n") * x)), F.lit(0.0)).alias
+    rest = sizes.groupBy("source").agg(
+        F.min(F.when(F.col("first"), F.col("n_tokens"))).alias("from_size"), many(F.lit(1.0))("n0"), many(under)("n1"), many(under * under)("n2"), F.min(under).alias("least"), F.max(under).alias("most")
+    )
+    u = u.join(F.broadcast(rest), "source").withColumn("p", F.col("frac"))  # one row per source of the mix
+    large = u.filter(F.col("n_tokens") >= F.col("from_size")).groupBy("source").applyInPandas(_largest, _FIRST)
+    large = cut(large)
+    line = large.groupBy("source").agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.sum(F.when(F.col("p") == 1, F.col("n_tokens"))).alias("_drawn"))
+    state = [c.split()[0] for c in _STATE.split(", ")]
+    small = u.filter(F.coalesce(F.col("n_tokens") < F.col("from_size"), F.lit(True))).join(F.broadcast(line), "source", "left")  # one row per source of the mix
+    at = F.coalesce("alpha", "frac") + F.coalesce("beta", F.lit(0.0)) * F.col("n_tokens")
+    small = small.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), at))).withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0)))
+    open_ = (F.col("p") > 0) & (F.col("p") < 1)
+    tail = large.filter(open_).join(F.broadcast(line.select("source", "_drawn")), "source").withColumn("goal", F.col("goal") - F.coalesce("_drawn", F.lit(0)))
+    drawn = large.filter(~open_).select("source", "doc_id", "n_tokens", "p").unionByName(_draw(small)).unionByName(tail.select(*state).groupBy("source").applyInPandas(_land, _STATE).select("source", "doc_id", "n_tokens", "p"))
+    both = drawn.join(rate.select("source", "base"), "source")
     taken = cut(both.withColumn("copies", (F.col("base") + F.col("p")).cast("int")).filter("copies > 0").select("doc_id", "source", "n_tokens", "copies"))
     per = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("_t"))
     shares = per.crossJoin(F.broadcast(per.agg(F.sum("_t").alias("_all"))))  # one row by one row per source
