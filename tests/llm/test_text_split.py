@@ -50,3 +50,33 @@ def test_items(spark):
     p = spark.createDataFrame([("s", [("k1", "z" * 2501), ("k2", None)]), ("t", []), ("u", None)], "source_id string, chunks array<struct<chunk_id: string, text: string>>")
     assert {tuple(r) for r in X.found(c, p).collect()} == {("a", "forced"), ("d", "natural"), ("k1", "forced")}
     assert X.found(c.limit(0), p.limit(0)).count() == 0
+
+
+def test_no_merge_across_parents():
+    """What comes out of an oversized section is not merged with what stands before it."""
+    text = "# A\n" + "word " * 199 + "\n# B\n## B1\n" + "word " * 199 + "\n## B2\n" + "word " * 399
+    got = [text[a:b] for _, a, b, _ in X.pieces(text)]
+    assert [g.split()[:2] for g in got] == [["#", "A"], ["#", "B"], ["##", "B2"]] and "# B" not in got[0] and "## B1" in got[1]
+    small = "# A\n" + "word " * 50 + "\n# C\n" + "word " * 50 + "\n# B\n## B1\n" + "word " * 300 + "\n## B2\n" + "word " * 300
+    assert [text_.split()[:2] for text_ in (small[a:b] for _, a, b, _ in X.pieces(small))] == [["#", "A"], ["#", "B"], ["##", "B2"]]
+
+
+@pytest.mark.parametrize("opening, closing", [("```python", "```"), ("<table>", "</table>"), ("~~~", "~~~")])
+def test_blocks_stay_whole(opening, closing):
+    block = opening + "\n" + "\n\n".join(f"x = {i} # one. two" for i in range(60)) + "\n" + closing + "\n"
+    text = "Intro text. " * 110 + "\n\n" + block + "\nAfter it. " * 90
+    assert any(block in text[a:b] for _, a, b, _ in X.pieces(text))
+    long = opening + "\n" + "\n\n".join(f"x = {i} # one. two" for i in range(600)) + "\n" + closing + "\n"
+    assert all(text_.rstrip("\n").split("\n")[-1].endswith(("two", closing)) for text_ in (long[a:b] for _, a, b, _ in X.pieces(long)))
+
+
+def test_lists_are_cut_between_items():
+    text = "Steps:\n\n" + "".join(f"{i}. first line of step {i}\n   second line. It has two sentences.\n" for i in range(1, 120))
+    for _, a, b, _ in X.pieces(text)[1:]:
+        assert re.match(r"\d+\. first", text[a:b])
+
+
+def test_headings_nest():
+    n = X.tree("intro\n\n# A\na\n## A1\nb\n### A11\nc\n## A2\nd\n# B\n```\n# no heading\n```\n")
+    shape = lambda x: [shape(y) for y in x.children] if x.children else x.kind
+    assert shape(n) == ["paragraph", ["paragraph", ["paragraph", ["paragraph"]], ["paragraph"]], ["fence"]]
