@@ -29,3 +29,20 @@ def test_equal_texts_are_judged_alike_and_empty(spark):
     docs = spark.createDataFrame([(1, KEYS), (2, KEYS), (2, KEYS)], "doc_id long, text string")
     assert sorted(r.doc_id for r in S.found(docs).collect()) == [1, 2]
     assert S.found(docs.limit(0)).count() == 0
+
+
+def test_short_lists_and_other_languages(spark):
+    """A page of three entries is a list whatever its length, one or two are not; other languages are judged by their own words."""
+    french = "Le radar de la station est remplacé par un modèle plus récent et les essais sont terminés dans le port. Il est installé sur le mât et les opérateurs ont noté une portée qui est plus grande. " * 3
+    russian = "Передатчик станции был заменён после испытаний, потому что модулятор отказал дважды. Операторы заметили, что разрешение стало лучше. " * 3
+    cases = [("home | shop | cart", True), ("radar kit, radar set, radar box", True), ("Veltor AAA-100", False), ("Receiver\nDisplay", False), (french, False), (russian, False), ("http://a.example/b", True)]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)] + [(100 + i, PROSE + f" Number {i} was tested.") for i in range(30)]
+    got = {r.doc_id for r in S.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, (_, spam) in enumerate(cases) if spam}
+
+
+def test_links_by_density_not_by_length(spark):
+    few = PROSE * 2 + "[see the maker](http://a.example/1) "
+    line = " ".join(f"[How a rather good radome of the station is built from several layers of glass {i}](http://s.example/{i})" for i in range(12))
+    got = {r.doc_id for r in S.found(spark.createDataFrame([(1, few), (2, line)], "doc_id long, text string")).collect()}
+    assert got == {2}
