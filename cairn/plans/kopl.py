@@ -6,17 +6,20 @@ rel_facts(fact_id, subject, predicate, object, qualifiers map<string,string>).
 
 A step gives a set (entity_id, fact_id, kind) or an answer. Where the published behaviour leaves a choice, ours is: a
 list answer is its first element by entity id; ties of SelectAmong go to the lowest id; years match dates that
-begin with them; numbers compare only within a unit; concepts count their sub-concepts down to `depth` levels.
+begin with them; numbers compare only within a unit; concepts count their sub-concepts at every level.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# function: (sets it takes, text arguments)
+from cairn.session import cut
+
+# The public language's functions, each with (sets it takes, text arguments).
 SIGNATURES = {
     "FindAll": (0, 0), "Find": (0, 1), "FilterConcept": (1, 1), "FilterStr": (1, 2), "FilterNum": (1, 3), "FilterYear": (1, 3), "FilterDate": (1, 3),
     "QFilterStr": (1, 2), "QFilterNum": (1, 3), "QFilterYear": (1, 3), "QFilterDate": (1, 3), "Relate": (1, 2), "And": (2, 0), "Or": (2, 0),
@@ -24,6 +27,12 @@ SIGNATURES = {
     "VerifyStr": (1, 1), "VerifyNum": (1, 2), "VerifyYear": (1, 2), "VerifyDate": (1, 2), "QueryRelation": (2, 0), "QueryAttrQualifier": (1, 3), "QueryRelationQualifier": (2, 2),
 }
 SETS = {"FindAll", "Find", "FilterConcept", "FilterStr", "FilterNum", "FilterYear", "FilterDate", "QFilterStr", "QFilterNum", "QFilterYear", "QFilterDate", "Relate", "And", "Or"}
+_VALUES = {"QueryAttr", "QueryAttrUnderCondition", "QueryAttrQualifier", "QueryRelationQualifier"}
+_FACTS = {f for f in SETS if "Filter" in f and f != "FilterConcept"} | {"Relate"}
+# what the last argument may be, by function
+_CHOICES = {"Relate": ("forward", "backward"), "SelectBetween": ("greater", "less"), "SelectAmong": ("largest", "smallest")} | {
+    f + t: ("=", "!=", "<", ">") for f in ("Filter", "QFilter", "Verify") for t in ("Num", "Year", "Date")
+}
 _OPS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
 
 
@@ -51,16 +60,28 @@ def dependencies(functions: list[str]) -> list[list[int]]:
     return out
 
 
-def validate(program: list[dict]) -> list[list[int]]:
+def validate(program: list[dict], answer: bool = True) -> list[list[int]]:
+    """The steps each step reads. answer=False allows a program that ends in a set."""
     if not program:
         raise ProgramError("an empty program")
     for i, s in enumerate(program):
-        f = s.get("function")
-        if f in SIGNATURES and len(s.get("inputs", [])) != SIGNATURES[f][1]:
-            raise ProgramError(f"step {i} ({f}) takes {SIGNATURES[f][1]} arguments")
-        if f in ("FilterNum", "FilterYear", "FilterDate", "QFilterNum", "QFilterYear", "QFilterDate") and s["inputs"][2] not in _OPS:
-            raise ProgramError(f"step {i}: comparison {s['inputs'][2]!r}")
-    return dependencies([s["function"] for s in program])
+        f, inputs = s.get("function"), s.get("inputs", [])
+        if f not in SIGNATURES:
+            raise ProgramError(f"unknown function: {f}")
+        if len(inputs) != SIGNATURES[f][1] or not all(isinstance(x, str) for x in inputs):
+            raise ProgramError(f"step {i} ({f}) takes {SIGNATURES[f][1]} text arguments")
+        if f in _CHOICES and inputs[-1] not in _CHOICES[f]:
+            raise ProgramError(f"step {i} ({f}): {inputs[-1]!r} is none of {', '.join(_CHOICES[f])}")
+    deps = dependencies([s["function"] for s in program])
+    for i, (s, own) in enumerate(zip(program, deps)):
+        f, read = s["function"], {program[k]["function"] for k in own}
+        if f.startswith("QFilter") and not read <= _FACTS:
+            raise ProgramError(f"step {i} ({f}) needs the facts of a filter or a relation")
+        if f.startswith("Verify") and not read <= _VALUES:
+            raise ProgramError(f"step {i} ({f}) needs a value")
+    if answer and program[-1]["function"] in SETS:
+        raise ProgramError("a program ends in an answer")
+    return deps
 
 
 @dataclass
@@ -70,10 +91,9 @@ class KB:
     entity_concepts: DataFrame
     attr_facts: DataFrame
     rel_facts: DataFrame
-    depth: int = 3
 
     def run(self, program: list[dict]) -> DataFrame:
-        deps = validate(program)
+        deps = validate(program, answer=False)
         done: list[DataFrame] = []
         for s, d in zip(program, deps):
             f = s["function"]
@@ -93,11 +113,13 @@ class KB:
         return self._set(e.unionByName(c).distinct())
 
     def _FilterConcept(self, s, name):
-        at = self.concepts.filter(F.col("name") == name).select("concept_id")
-        below = at
-        for _ in range(self.depth):
-            at = self.concepts.join(at.withColumnRenamed("concept_id", "parent_id"), "parent_id", "left_semi").select("concept_id")
-            below = below.unionByName(at)
+        below = at = self.concepts.filter(F.col("name") == name).select("concept_id").distinct()
+        while True:  # level by level until a level has no concept that is new; a circle of concepts ends, too
+            at = self.concepts.join(at.withColumnRenamed("concept_id", "parent_id"), "parent_id", "left_semi").select("concept_id").distinct()
+            at = cut(at.join(below, "concept_id", "left_anti"))
+            if at.isEmpty():
+                break
+            below = cut(below.unionByName(at))
         inst = self.entity_concepts.join(below.distinct(), "concept_id", "left_semi").select("entity_id")
         return s.join(inst, "entity_id", "left_semi")
 
@@ -220,19 +242,38 @@ class KB:
 
 
 # ---- transforms of programs, on the driver (R-17..R-20, R-29)
+_FUNC, _ARG = "<func>", "<arg>"
+
+
 def parse(text: str) -> list[dict]:
-    """R-17: "Find(x) → Relate(located in, forward) → Count()" as steps."""
+    """R-17: steps of a program, checked. Two spellings: "Find <arg> x <func> Count", where an argument may hold anything but
+    the delimiters, and "Find(x) → Count()", where a comma, an arrow or a backslash within an argument is written with a backslash."""
     steps = []
-    for part in text.split("→"):
-        name, _, rest = part.strip().partition("(")
-        inputs = [x.strip() for x in rest.rstrip(")").split(",")] if rest.rstrip(")").strip() else []
-        steps.append({"function": name.strip(), "inputs": inputs})
+    if _FUNC in text or _ARG in text or "(" not in text:
+        for part in text.split(_FUNC):
+            name, *inputs = (x.strip() for x in part.split(_ARG))
+            steps.append({"function": name, "inputs": inputs})
+    else:
+        for part in re.split(r"(?<!\\)→", text):
+            m = re.fullmatch(r"\s*(\w+)\s*\((.*)\)\s*", part, re.S)
+            if m is None:
+                raise ProgramError(f"no step: {part.strip()!r}")
+            inputs = [x.strip() for x in re.split(r"(?<!\\),", m[2])] if m[2].strip() else []
+            if SIGNATURES.get(m[1], (0, 0))[1] == 1 and len(inputs) > 1:
+                inputs = [m[2].strip()]  # a single argument may hold commas as they are
+            steps.append({"function": m[1], "inputs": [re.sub(r"\\([,→\\])", r"\1", x) for x in inputs]})
     validate(steps)
     return steps
 
 
-def serialise(program: list[dict]) -> str:
-    return " → ".join(f"{s['function']}({', '.join(s.get('inputs', []))})" for s in program)
+def serialise(program: list[dict], delimiters: bool = False) -> str:
+    """R-17: the program as text that parse gives back."""
+    if delimiters:
+        if any(d in x for s in program for x in s.get("inputs", []) for d in (_FUNC, _ARG)):
+            raise ProgramError("an argument holds a delimiter")
+        return f" {_FUNC} ".join(f" {_ARG} ".join([s["function"], *s.get("inputs", [])]) for s in program)
+    safe = lambda x: re.sub(r"([,→\\])", r"\\\1", x)
+    return " → ".join(f"{s['function']}({', '.join(map(safe, s.get('inputs', [])))})" for s in program)
 
 
 def mutations(program: list[dict], values: dict[str, list[str]]) -> list[list[dict]]:
@@ -247,14 +288,32 @@ def mutations(program: list[dict], values: dict[str, list[str]]) -> list[list[di
     return out
 
 
-def repaired(program: list[dict], known: set[str], likeness) -> list[dict]:
-    """R-20: the first argument the schema does not know becomes the known one most like it; the rest stays."""
-    for i, s in enumerate(program):
-        for k, old in enumerate(s.get("inputs", [])):
-            if s["function"] not in ("Find", "FilterNum", "FilterYear", "FilterDate") and old not in known and known:
-                new = max(sorted(known), key=lambda x: likeness(old, x))
-                return [*program[:i], {"function": s["function"], "inputs": [*s["inputs"][:k], new, *s["inputs"][k + 1 :]]}, *program[i + 1 :]]
-    return program
+# what kind of word each argument is; numbers, dates, values and choices are not words of the schema
+_ROLES = {
+    "Find": ["entity"], "FilterConcept": ["concept"], "FilterStr": ["attribute", ""], "FilterNum": ["attribute", "", ""], "FilterYear": ["attribute", "", ""], "FilterDate": ["attribute", "", ""],
+    "QFilterStr": ["qualifier", ""], "QFilterNum": ["qualifier", "", ""], "QFilterYear": ["qualifier", "", ""], "QFilterDate": ["qualifier", "", ""], "Relate": ["relation", ""],
+    "SelectBetween": ["attribute", ""], "SelectAmong": ["attribute", ""], "QueryAttr": ["attribute"], "QueryAttrUnderCondition": ["attribute", "qualifier", ""],
+    "QueryAttrQualifier": ["attribute", "", "qualifier"], "QueryRelationQualifier": ["relation", "qualifier"],
+}
+
+
+def unknown_arguments(program: list[dict], schema: dict[str, set[str]]) -> list[tuple[int, int, str]]:
+    """(step, argument, role) of the words that the schema (role -> words) does not have; roles it does not list are not checked."""
+    return [(i, k, r) for i, s in enumerate(program) for k, r in enumerate(_ROLES.get(s["function"], [])) if r in schema and s["inputs"][k] not in schema[r]]
+
+
+def repaired(program: list[dict], schema: dict[str, set[str]], likeness) -> list[dict]:
+    """R-20: a program with exactly one unknown word gets the word of the same role that is most like it (ties: the first by name).
+
+    With none, with several, or with no word of that role the program stays as it is: which of them to change cannot be told.
+    """
+    wrong = unknown_arguments(program, schema)
+    if len(wrong) != 1 or not schema[wrong[0][2]]:
+        return program
+    i, k, role = wrong[0]
+    s = program[i]
+    new = min(schema[role], key=lambda x: (-likeness(s["inputs"][k], x), x))
+    return [*program[:i], {"function": s["function"], "inputs": [*s["inputs"][:k], new, *s["inputs"][k + 1 :]]}, *program[i + 1 :]]
 
 
 def flat_arguments(program: list[dict]) -> dict[str, list[str]]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,12 +42,24 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+        sc.setCheckpointDir(_shared(spark) or _own_folder(spark, "cairn-checkpoint-"))
     return df.checkpoint(eager)
 
 
+def _shared(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _own_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder of this machine, removed at exit; only in local mode, where the driver's machine is the only one."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share; in a folder of our own only where none is set (tests, local mode)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-files-")
+    base = _shared(spark) or _own_folder(spark, "cairn-files-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -73,6 +73,42 @@ def test_program_text_round_trip():
     assert [kopl.serialise(x) for x in m] == ["Find(b) → Count()"]
 
 
+def test_program_text_with_brackets_and_commas():
+    step = lambda f, *a: {"function": f, "inputs": list(a)}
+    assert kopl.parse("Find(AN/SPY-1D(V)) → Count()") == [step("Find", "AN/SPY-1D(V)"), step("Count")]
+    assert kopl.parse("Find(Washington, D.C.) → QueryAttr(area)")[0] == step("Find", "Washington, D.C.")
+    assert kopl.parse("Find <arg> a → b, c(d) <func> QueryAttr <arg> area")[0] == step("Find", "a → b, c(d)")
+    odd = [step("Find", "a, b → c\\ (d))"), step("QueryAttrQualifier", "x, y", "→", "z)"), step("VerifyStr", "(,")]
+    assert kopl.parse(kopl.serialise(odd)) == odd == kopl.parse(kopl.serialise(odd, delimiters=True))
+    with pytest.raises(kopl.ProgramError):
+        kopl.serialise([step("Find", "a <arg> b"), step("Count")], delimiters=True)
+
+
+@pytest.mark.parametrize("text", ["Find(a) → Relate(on, sideways) → Count()", "Find(a)", "Find(a) → QFilterStr(k, v) → Count()", "Find(a) → Count() → VerifyStr(3)", "Find(a) → SelectAmong(size, tallest)", "Find(a) → FilterNum(size, 3 m, ~) → Count()", "Find(a) → What() → What()", "Find(a) Count()", "", "Find(a) → QueryAttr()"])
+def test_programs_that_mean_nothing_are_refused(text):
+    with pytest.raises(kopl.ProgramError):
+        kopl.parse(text)
+
+
+def test_concepts_at_every_level(spark):
+    concepts = [(f"c{i}", f"level {i}", f"c{i - 1}" if i else None) for i in range(7)] + [("x", "ring", "y"), ("y", "ring two", "x")]
+    kb = kopl.KB(
+        spark.createDataFrame([(f"e{i}", f"thing {i}") for i in range(7)], "entity_id string, name string"), spark.createDataFrame(concepts, "concept_id string, name string, parent_id string"),
+        spark.createDataFrame([(f"e{i}", f"c{i}") for i in range(7)], "entity_id string, concept_id string"), None, None,
+    )
+    count = lambda name: kb.run([{"function": "FindAll"}, {"function": "FilterConcept", "inputs": [name]}, {"function": "Count"}]).first().value
+    assert [count("level 0"), count("level 5"), count("ring"), count("none")] == [7, 2, 0, 0]
+
+
+def test_repair_changes_one_word_of_its_role():
+    schema = {"relation": {"located in", "part of"}, "attribute": {"area", "located at"}}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    fix = lambda t: kopl.serialise(kopl.repaired(kopl.parse(t), schema, like))
+    assert fix("Find(a) → Relate(locatd in, forward) → Count()") == "Find(a) → Relate(located in, forward) → Count()"
+    for same in ("Find(a) → Relate(part of, forward) → Count()", "Find(a) → Relate(prt of, forward) → QueryAttr(aera)"):
+        assert fix(same) == same
+
+
 CELL = "struct<kind: string, value: double, lower: double, upper: double, lower_inclusive: boolean, upper_inclusive: boolean, operator: string, unit: string, text: string, options: array<double>>"
 
 
