@@ -152,3 +152,81 @@ def apply_view(view: Column, x: Column) -> Column:
 
 def invert_view(view: Column, y: Column) -> Column:
     return F.when(view == "recip", F.when(y != 0, 1 / y)).when(view == "pow10", F.when(y > 0, 10 * F.log10(y))).otherwise(y)
+
+
+# What marks a bound, an approximation and a tolerance.
+_MARKS = {
+    "<=": r"≤|<=|⩽|up to\b|max(?:imum)?\b\.?|not (?:more|greater|over) than\b|no more than\b|at most\b|不超过|不大于|至多|最大",
+    ">=": r"≥|>=|⩾|min(?:imum)?\b\.?|not (?:less|below|under) than\b|no less than\b|at least\b|不低于|不小于|不少于|至少|最小",
+    "<": r"<|less than\b|below\b|under\b|小于|低于",
+    ">": r">|more than\b|greater than\b|above\b|over\b|exceed(?:s|ing)\b|大于|高于|超过",
+}
+_ABOUT = r"~|≈|∼|about\b|approx(?:imately)?\b\.?|circa\b|ca\.|c\.|around\b|nominally\b|roughly\b|约|大约|大概|左右"
+_LABEL = r"(?:[\p{L} _-]+[:：]\s*)?"
+_TOLERANCE = rf"({FIGURE})\s*([^\d\s±+%]*)\s*(?:±|\+/-|\+-)\s*({FIGURE})\s*(%?)\s*(\S*)"
+_PAIR = rf"({FIGURE})\s*([^\d\s×x]*)\s*[x×]\s*({FIGURE})(?!\d)(?!\^)\s*(\S*)"
+
+
+def typed_value(text: Column) -> Column:
+    """kind, value, lower, upper, operator, options, unit of a printed value.
+
+    kind: number; bound (operator and the end it gives); range (two ends, or a tolerance around a number); options (a list);
+    pair (a by b, as options); approximate; text (no figure). A minus sign may be any dash that no figure stands before.
+    Null or blank: kind text, all else null.
+    """
+    t = F.trim(F.translate(text, "−", "-"))
+    marked = lambda words: t.rlike(rf"(?i)^{_LABEL}(?:{words})\s*[-+]?\d")
+    operator = F.lit(None).cast("string")
+    for sign, words in reversed(_MARKS.items()):
+        operator = F.when(marked(words), sign).otherwise(operator)
+    plain = even_numbers(even_scales(t))
+    inside = rf"^\D*?{_TOLERANCE}"
+    tolerant, pair = plain.rlike(inside), plain.rlike(rf"^\D*?{_PAIR}")
+    group = lambda pattern, k: F.regexp_extract(plain, pattern, k)
+    middle, by = group(inside, 1).try_cast("double"), group(inside, 3).try_cast("double")
+    by = F.when(group(inside, 4) == "%", F.abs(middle) * by / 100).otherwise(by)
+    parts = F.filter(figure_parts(t), lambda p: p.rlike(r"\d"))
+    n = F.transform(parts, part_number)
+    units = F.filter(F.transform(parts, part_unit), lambda u: u != "")
+    listed = t.rlike(r"\d\D{0,12}[;；]\s*\d|\d\s*/\s*\d")
+    kind = (
+        F.when(~F.coalesce(t, F.lit("")).rlike(r"\d") | (F.size(n) < 1), "text").when(tolerant, "range").when(pair, "pair")
+        .when((F.size(n) > 2) | ((F.size(n) == 2) & listed), "options").when(F.size(n) == 2, "range")
+        .when(operator.isNotNull(), "bound").when(t.rlike(rf"(?i)^{_LABEL}(?:{_ABOUT})\s*[-+]?\d") | t.rlike("左右$"), "approximate").otherwise("number")
+    )
+    at = lambda k: F.get(n, F.lit(k))
+    is_ = lambda *k: kind.isin(*k)
+    lower = F.when(is_("range"), F.when(tolerant, middle - by).otherwise(F.least(at(0), at(1)))).when(is_("bound") & operator.isin(">", ">="), at(0))
+    upper = F.when(is_("range"), F.when(tolerant, middle + by).otherwise(F.greatest(at(0), at(1)))).when(is_("bound") & operator.isin("<", "<="), at(0))
+    own = F.when(tolerant, F.coalesce(F.nullif(group(inside, 2), F.lit("")), F.nullif(group(inside, 5), F.lit("")))).when(pair, group(rf"^\D*?{_PAIR}", 4)).otherwise(F.element_at(F.when(F.size(units) > 0, units), -1))
+    sides = F.array(group(rf"^\D*?{_PAIR}", 1).try_cast("double"), group(rf"^\D*?{_PAIR}", 3).try_cast("double"))
+    return F.struct(
+        kind.alias("kind"), F.when(is_("number", "approximate"), at(0)).alias("value"), lower.alias("lower"), upper.alias("upper"), F.when(is_("bound"), operator).alias("operator"),
+        F.when(is_("options"), n).when(is_("pair"), sides).alias("options"), F.when(~is_("text"), unit_key(own)).alias("unit"),
+    )
+
+
+_SPECS = {
+    "weight_kg": (r"(?i)(?:weigh(?:s|ing|ed)?|weight(?: of| is|:)?|mass(?: of| is|:)?|重量?[为:：]?)\s*(?:about |approx\.? |~|约)?", {"kg": 1.0, "t": 1000.0, "tonnes": 1000.0, "g": 0.001, "lb": 0.45359237}),
+    "power_kw": (r"(?i)(?:power(?: of| is|:)?|功率[为:：]?)\s*(?:about |approx\.? |~|约)?", {"kW": 1.0, "MW": 1000.0, "W": 0.001}),
+    "prf_hz": (r"(?i)(?:prf|pulse repetition frequency|pulse rate|脉冲重复频率)(?: of| is|:|为|：)?\s*(?:about |approx\.? |~|约)?", {"Hz": 1.0, "kHz": 1000.0, "pps": 1.0}),
+    "range_km": (r"(?i)(?:range(?: of| is|:)?|距离[为:：]?|targets at|reached)\s*(?:more than |about |approx\.? |~|约)?", {"km": 1.0, "NM": 1.852, "nautical miles": 1.852, "m": 0.001}),
+}
+
+
+def spec_values(text: Column) -> Column:
+    """weight_kg, power_kw, prf_hz, range_km, year, status of the first phrase that states each; text_kind is null where none is stated."""
+    plain = even_numbers(text)
+    out = []
+    for name, (words, units) in _SPECS.items():
+        names = sorted(units, key=len, reverse=True)
+        pattern = rf"{words}({FIGURE})\s?((?-i:{'|'.join(names)}))(?![\p{{L}}\d])"
+        unit, by = F.regexp_extract(plain, pattern, 2), F.lit(None).cast("double")
+        for u, f in units.items():
+            by = F.when(unit == u, f).otherwise(by)
+        out.append((F.regexp_extract(plain, pattern, 1).try_cast("double") * by).alias(name))
+    year = F.regexp_extract(text, r"(?i)(?:\b(?:in|since|from|introduced|entered service in|delivered in)\s+|于)((?:18|19|20)\d{2})(?!\d)", 1).try_cast("int").alias("year")
+    word = F.lower(F.regexp_extract(text, r"(?i)\b(in service|out of service|retired|withdrawn|under development|in production|prototype)\b|(现役|退役|在研)", 0))
+    status = F.when(word.isin("in service", "in production", "现役"), "active").when(word.isin("out of service", "retired", "withdrawn", "退役"), "retired").when(word != "", "development").alias("status")
+    row = [*out, year, status]
+    return F.struct(*row, F.when(F.coalesce(*[c.cast("string") for c in row]).isNotNull(), "spec").alias("text_kind"))

@@ -67,10 +67,12 @@ def best_form(names: DataFrame, key: Column) -> DataFrame:
 
 
 def longest_alias(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """W-10: id, surface, canonical of the longest alias in each text, by words: aliases meet texts at their first word."""
-    t = texts.select("id", "text", F.explode(F.array_distinct(T.answer_tokens(F.col("text")))).alias("w"))
-    i = index.withColumn("w", T.answer_tokens(F.col("surface"))[0])
-    hit = t.join(i, "w").filter(F.contains(F.lower("text"), F.lower("surface")))
+    """W-10: id, surface, canonical of the longest alias in each text, by whole words: aliases meet texts at their first word."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    t = texts.select("id", words("text").alias("_w")).select("id", spaced(F.col("_w")).alias("_t"), F.explode(F.array_distinct("_w")).alias("w"))
+    i = index.withColumn("_w", words("surface")).filter(F.size("_w") > 0).withColumn("w", F.get("_w", F.lit(0))).withColumn("_s", spaced(F.col("_w"))).drop("_w")
+    hit = t.join(i, "w").filter(F.contains("_t", "_s"))
     w = W.partitionBy("id").orderBy(F.desc(F.length("surface")), "surface")
     return hit.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("id", "surface", "canonical")
 

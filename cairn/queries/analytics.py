@@ -166,7 +166,7 @@ def _scored(spark, d):
 RANKS = f"WITH {SCORED}, r AS (SELECT t.query, t.target, count(*) FILTER (s.score >= x.score AND s.cand % 3 <> 0) + 1 AS rank FROM t JOIN s x ON x.query = t.query AND x.cand = t.target LEFT JOIN s ON s.query = t.query GROUP BY 1, 2)"
 
 
-@q("w02_filtered_ranks")
+@q("w02_filtered_ranks", f"{RANKS} SELECT query, target, rank FROM r")
 def _(spark, d):
     return E.filtered_ranks(*_scored(spark, d))
 

@@ -431,7 +431,7 @@ def _(spark, d):
     return U.components(t.select(F.col("head").alias("a"), F.col("tail").alias("b")))
 
 
-@q("r30_leakage")
+@q("r30_leakage", "SELECT 'id:' || min(id) AS component, count(*) AS n_items, array_to_string(list_sort(list(DISTINCT split)), '|') AS splits FROM questions WHERE question IS NOT NULL GROUP BY lower(trim(question)) HAVING count(DISTINCT split) > 1")
 def _(spark, d):
     qs = table(spark, d, "questions").select("id", "split", F.lower(F.trim("question")).alias("text"))
     return U.leakage(qs, ["text"])
@@ -454,7 +454,7 @@ def _(spark, d):
     return G.schema_violations(D.triples(spark, d), s)
 
 
-@q("x29_split_bucket")
+@q("x29_split_bucket", "WITH b AS (SELECT list_reduce(list_prepend(0, list_transform(string_split(md5(c_name), ''), lambda c: strpos('0123456789abcdef', c) - 1)), lambda a, x: (a * 16 + x) % 100) AS b FROM customer) SELECT CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM b GROUP BY 1")
 def _(spark, d):
     c = table(spark, d, "customer").select("c_custkey", T.split_name(F.col("c_name")).alias("split"))
     return c.groupBy("split").agg(F.count("*").alias("n"))

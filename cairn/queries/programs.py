@@ -172,7 +172,7 @@ def _(spark, d):
     return P.assess_same_value(s, "typed_value")
 
 
-@q("r26_assess_listed")
+@q("r26_assess_listed", f"{BASE} SELECT list_sort(list(DISTINCT CAST(typed_value.value AS VARCHAR) || coalesce(' ' || typed_value.unit, ''))) AS options FROM t WHERE attribute = 'channel_count' AND family_id = 'veltor_meridian900' AND typed_value.kind = 'number'")
 def _(spark, d):
     s = P.scan(readings(spark, d), families=["veltor_meridian900"], attributes=["channel_count"]).filter("typed_value.kind = 'number'")
     return P.assess_listed_domain(s, "typed_value")

@@ -39,3 +39,45 @@ def test_known_conversions_are_consistent():
     to = {r[0]: r[2:] for r in U.conversions_to("kW")}
     assert to["w"] == ("id", 0.001, 0.0) and to["dbm"] == ("pow10", 1e-6, 0.0)
     assert U.conversions_to("furlongs") == []
+
+
+# text -> kind, value, lower, upper, operator, options, unit
+VALUES = [
+    ("185 km", "number", 185.0, None, None, None, None, "km"), ("−40 °C", "number", -40.0, None, None, None, None, "°c"), ("9,370 MHz", "number", 9370.0, None, None, None, None, "mhz"), ("81,82 mph", "number", 81.82, None, None, None, None, "mph"),
+    ("≤ 4 kW", "bound", None, None, 4.0, "<=", None, "kw"), ("not less than 250 Hz", "bound", None, 250.0, None, ">=", None, "hz"), ("more than 12 NM", "bound", None, 12.0, None, ">", None, "nm"), ("不超过50 kg", "bound", None, None, 50.0, "<=", None, "kg"), ("power: max. 7 kW", "bound", None, None, 7.0, "<=", None, "kw"), ("< 3 dB", "bound", None, None, 3.0, "<", None, "db"),
+    ("-45 to 60 °C", "range", None, -45.0, 60.0, None, None, "°c"), ("8120-9183 MHz", "range", None, 8120.0, 9183.0, None, None, "mhz"), ("1050…917 MHz", "range", None, 917.0, 1050.0, None, None, "mhz"),
+    ("24 ± 2 V", "range", None, 22.0, 26.0, None, None, "v"), ("200 V ± 10 %", "range", None, 180.0, 220.0, None, None, "v"), ("50 +/- 5 Hz", "range", None, 45.0, 55.0, None, None, "hz"),
+    ("0.75; 1.5; 3 NM", "options", None, None, None, None, [0.75, 1.5, 3.0], "nm"), ("12 / 24 km", "options", None, None, None, None, [12.0, 24.0], "km"), ("1, 2, 4 km", "options", None, None, None, None, [1.0, 2.0, 4.0], "km"),
+    ("2.4 x 1.2 m", "pair", None, None, None, None, [2.4, 1.2], "m"), ("约490 kg (0.49 tonnes)", "approximate", 490.0, None, None, None, None, "kg"), ("approx. 12 m", "approximate", 12.0, None, None, None, None, "m"), ("~3 dB", "approximate", 3.0, None, None, None, None, "db"),
+    ("n/a", "text", None, None, None, None, None, None), ("", "text", None, None, None, None, None, None), (None, "text", None, None, None, None, None, None), ("sector scan", "text", None, None, None, None, None, None), ("7", "number", 7.0, None, None, None, None, None),
+]
+
+
+def test_typed_values(spark):
+    df = spark.createDataFrame([(i, v[0]) for i, v in enumerate(VALUES)], "i int, t string").select("i", U.typed_value(F.col("t")).alias("v"))
+    for r in df.collect():
+        want, v = VALUES[r.i], r.v
+        got = (v.kind, v.value, v.lower, v.upper, v.operator, v.options, v.unit)
+        assert all(a == b or (isinstance(b, float) and a == pytest.approx(b)) for a, b in zip(got, want[1:])), (want, got)
+
+
+def test_typed_values_agree_with_the_table(spark, data):
+    """The kinds of the given readings: those printed as they were typed come out as typed."""
+    t = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/typed_records.parquet").filter("value_text is not null and typed_value.kind in ('number', 'range', 'options', 'bound', 'approximate')")
+    n, same = t.select((U.typed_value(F.col("value_text"))["kind"] == F.col("typed_value.kind")).alias("ok")).agg(F.count("*"), F.count_if("ok")).first()
+    assert n > 1000 and same >= 0.9 * n
+
+
+SPECS = [
+    ("The set, weighing 21 kg, entered service in 1987 and was withdrawn later.", (21.0, None, None, None, 1987, "retired")), ("A peak power of 1.5 MW and a prf of 2 kHz; its range is 12 NM.", (None, 1500.0, 2000.0, 22.224, None, None)),
+    ("该雷达于1995年服役，重量为1,200 kg。", (1200.0, None, None, None, 1995, None)), ("The mass is 3 tonnes. The set is still in service.", (3000.0, None, None, None, None, "active")), ("Nothing is stated here about 12 things.", (None,) * 6), (None, (None,) * 6),
+]
+
+
+def test_spec_values(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPECS)], "i int, t string").select("i", U.spec_values(F.col("t")).alias("s"))
+    for r in df.collect():
+        got = (r.s.weight_kg, r.s.power_kw, r.s.prf_hz, r.s.range_km, r.s.year, r.s.status)
+        want = SPECS[r.i][1]
+        assert all(a == b or (isinstance(b, float) and a == pytest.approx(b)) for a, b in zip(got, want)), (SPECS[r.i], got)
+        assert (r.s.text_kind is None) == all(x is None for x in want)
