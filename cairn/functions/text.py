@@ -30,7 +30,7 @@ def family_key(c: Column) -> Column:
 
 def designation(c: Column) -> Column:
     """Maker and model as printed, e.g. ABC-123."""
-    return F.regexp_extract(c, r"\b[A-Z]{2,4}-\d+[A-Z]?\b", 0)
+    return F.regexp_extract(c, r"(?<![A-Za-z0-9_])[A-Z]{2,4}-[0-9]+[A-Z]?(?![A-Za-z0-9_])", 0)
 
 
 def first_number(c: Column) -> Column:

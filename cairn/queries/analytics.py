@@ -135,10 +135,11 @@ def _(spark, d):
     return table(spark, d, "nation").select(F.col("n_name").alias("entity")).orderBy("entity").limit(6)
 
 
-@q("x22_query_expansion", "SELECT 'q1' AS query, unnest(['magnetron', 'sea', 'clutter', 'tube', 'echo']) AS term")
+@q("x22_query_expansion", "WITH q AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(question), '[a-z]+')) AS term FROM questions), t AS (SELECT attribute, unnest(aliases) AS trigger FROM attr_schema) SELECT id AS query, term FROM q UNION SELECT q.id, t.attribute FROM q JOIN t ON q.term = t.trigger")
 def _(spark, d):
-    tr = spark.createDataFrame([("magnetron", "tube"), ("clutter", "echo"), ("x", "y")], "trigger string, term string")
-    return R.expand_terms(_asked(spark).filter("query = 'q1'"), tr)
+    tr = table(spark, d, "attr_schema").select(F.col("attribute").alias("term"), F.explode("aliases").alias("trigger"))
+    asked = table(spark, d, "questions").select(F.col("id").alias("query"), F.explode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), 0)).alias("term"))
+    return R.expand_terms(asked, tr)
 
 
 @q("w07_hubness", f"WITH {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc) SELECT CAST(sum(c) AS BIGINT) AS listed, count(*) > 0 AS some FROM (SELECT doc, count(*) AS c FROM r WHERE rank <= 10 GROUP BY 1)")
@@ -285,12 +286,21 @@ def fn(name, sql, source, build):
 
 
 fn("x05_name_key", "SELECT DISTINCT regexp_replace(lower(trim(family_id)), '[\\s\\-_/().]', '', 'g') AS k FROM typed_records", "typed_records", lambda t: t.select(T.name_key(F.col("family_id")).alias("k")).distinct())
-fn("x10_designation", "SELECT id, nullif(regexp_extract(question, '\\b[A-Z]{2,4}-\\d+[A-Z]?\\b'), '') AS m FROM questions WHERE lang = 'en'", "questions", lambda t: t.filter("lang = 'en'").select("id", F.nullif(T.designation(F.col("question")), F.lit("")).alias("m")))
+fn("x10_designation", "SELECT id, nullif(regexp_extract(question, '(?:^|[^A-Za-z0-9_])([A-Z]{2,4}-[0-9]+[A-Z]?)(?:$|[^A-Za-z0-9_])', 1), '') AS m FROM questions", "questions", lambda t: t.select("id", F.nullif(T.designation(F.col("question")), F.lit("")).alias("m")))
 fn("x08_family_key", "SELECT DISTINCT s_name, regexp_extract(upper(s_name), '([A-Z]{1,4})[- ]?(\\d+)', 0) AS k FROM supplier", "supplier", lambda t: t.select("s_name", T.family_key(F.col("s_name")).alias("k")).distinct())
 fn("x11_platform", "SELECT tail, CASE WHEN regexp_matches(lower(tail), 'ship|vessel|frigate|destroyer|carrier|submarine|boat|naval|marine|corvette') THEN 'naval' WHEN regexp_matches(lower(tail), 'ground|vehicle|truck|station|coastal|tower|site|harbou?r') THEN 'ground' WHEN regexp_matches(lower(tail), 'air|aircraft|fighter|helicopter|uav|bomber|drone') THEN 'air' END AS class FROM (SELECT DISTINCT tail FROM wikidata_enrich_out WHERE relation = 'deployedOn')", "wikidata_enrich_out", lambda t: t.filter("relation = 'deployedOn'").select("tail").distinct().select("tail", T.platform_class(F.col("tail")).alias("class")))
-fn("x12_band", "SELECT doc_id, CASE WHEN regexp_matches(lower(title), '\\bx[- ]?band') THEN 'X' END AS band FROM documents WHERE title IS NOT NULL", "documents", lambda t: t.filter("title is not null").select("doc_id", F.when(T.band(F.col("title")) == "X", "X").alias("band")))
+fn("x12_band", "WITH b AS (SELECT doc_id, regexp_extract(coalesce(title, '') || ' ' || coalesce(text, ''), '(?i)\\b(VHF|UHF|HF|Ku|Ka|[LSCXKVW])[- ]?band\\b', 1) AS b FROM documents) SELECT doc_id, CASE WHEN b = '' THEN NULL WHEN lower(b) IN ('ku', 'ka') THEN 'K' || lower(b[2]) ELSE upper(b) END AS band FROM b", "documents", lambda t: t.select("doc_id", T.band(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("band")))
 fn("x15_first_number", "SELECT record_id, TRY_CAST(nullif(regexp_extract(value_text, '-?\\d+(\\.\\d+)?'), '') AS DOUBLE) AS v FROM typed_records", "typed_records", lambda t: t.select("record_id", T.first_number(F.col("value_text")).alias("v")))
-fn("x17_number_text", "SELECT DISTINCT record_id, trim(regexp_replace(regexp_replace(value_text, '(\\d)\\s*(…|\\.{2,}|[–—~])\\s*(-?\\d)', '\\1 to \\3', 'g'), '(\\d),(\\d{3})(\\D|$)', '\\1\\2\\3')) AS t FROM typed_records WHERE value_text IS NOT NULL AND NOT contains(value_text, ',') AND NOT contains(value_text, '−')", "typed_records", lambda t: t.filter("value_text is not null and not contains(value_text, ',') and not contains(value_text, '−')").select("record_id", T.number_text(F.col("value_text")).alias("t")).distinct())
+def _twice(pattern: str, x: str, by: str) -> str:
+    """Replaced two times, as a match takes the figure that the next one begins with."""
+    for _ in range(2):
+        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    return x
+
+
+_EVEN = _twice(r"(\d)\s*(…|\.{2,}|[–—~])\s*(-?\d)", "translate(value_text, '−－～', '--~')", r"'\1 to \3'")
+_EVEN = _twice(r"(\d),(\d{3})(\D|$)", _EVEN, r"'\1' || chr(1) || '\2\3'")
+fn("x17_number_text", f"SELECT DISTINCT record_id, trim(replace({_EVEN}, chr(1), '')) AS t FROM typed_records WHERE value_text IS NOT NULL", "typed_records", lambda t: t.filter("value_text is not null").select("record_id", T.number_text(F.col("value_text")).alias("t")).distinct())
 fn("x19_only_number", "SELECT record_id, CASE WHEN len(regexp_extract_all(value_text, '-?\\d+(?:\\.\\d+)?')) = 1 THEN CAST(regexp_extract(value_text, '-?\\d+(\\.\\d+)?') AS DOUBLE) END AS v FROM typed_records", "typed_records", lambda t: t.select("record_id", T.only_number(F.col("value_text")).alias("v")))
 fn("x20_valid_number", "SELECT count(*) FILTER (v BETWEEN 1 AND 1000) AS n FROM (SELECT TRY_CAST(nullif(regexp_extract(value_text, '-?\\d+(\\.\\d+)?'), '') AS DOUBLE) AS v FROM typed_records)", "typed_records", lambda t: t.agg(F.count(T.valid_number(F.col("value_text"), 1, 1000)).alias("n")))
 fn("x21_tokens", f"SELECT doc_id, CAST(len({_TOK}) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL", "documents", lambda t: t.filter("text is not null").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n")))
@@ -299,8 +309,9 @@ fn("x26_exact_match", "SELECT count(*) FILTER (trim(regexp_replace(lower(predict
 fn("x30_canonical_hash", "SELECT count(DISTINCT (r_regionkey, r_name)) AS n FROM region", "region", lambda t: t.agg(F.count_distinct(T.canonical_hash("r_regionkey", "r_name")).alias("n")))
 fn("x35_uri_key", "SELECT DISTINCT site, lower(site) AS k FROM documents WHERE site IS NOT NULL", "documents", lambda t: t.filter("site is not null").select("site", T.uri_key(F.concat(F.lit("https://www."), "site", F.lit("/#top"))).alias("k")).distinct())
 fn("s17_rendered", "SELECT head, tail, head || ' stands on ' || tail || '.' AS sentence FROM wikidata_enrich_out WHERE relation = 'deployedOn' AND tail IS NOT NULL", "wikidata_enrich_out", lambda t: t.filter("relation = 'deployedOn' and tail is not null").select("head", "tail", T.rendered(F.col("head"), F.col("relation"), F.col("tail"), {"deployedOn": "{h} stands on {t}."}).alias("sentence")))
-fn("x09_transliterated", "SELECT 'Radar zhuk' AS t", "region", lambda t: t.limit(1).select(T.transliterated(F.lit("Радар жук")).alias("t")))
-fn("r44_band_list", "SELECT 'X|S|L' AS t", "region", lambda t: t.limit(1).select(F.array_join(T.band_list(F.lit("XS, L/x")), "|").alias("t")))
+fn("x09_transliterated", "SELECT p_partkey, lower(p_name) AS t FROM part", "part", lambda t: t.select("p_partkey", T.transliterated(F.translate(F.lower("p_name"), "abvgdeziklmnoprstufy", "абвгдезиклмнопрстуфы")).alias("t")))
+_LETTER = "substr('LSCX', {} % 4 + 1, 1)"
+fn("r44_band_list", f"WITH x AS (SELECT p_partkey, {_LETTER.format('p_partkey')} AS a, {_LETTER.format('p_partkey // 4')} AS b, {_LETTER.format('p_partkey // 16')} AS c FROM part) SELECT p_partkey, a || CASE WHEN b <> a THEN '|' || b ELSE '' END || CASE WHEN c NOT IN (a, b) THEN '|' || c ELSE '' END || CASE WHEN 'X' NOT IN (a, b, c) THEN '|X' ELSE '' END AS t FROM x", "part", lambda t: t.select("p_partkey", F.array_join(T.band_list(F.concat(F.expr(_LETTER.format("p_partkey")), F.expr(_LETTER.format("(p_partkey div 4)")), F.lit(", "), F.lower(F.expr(_LETTER.format("(p_partkey div 16)"))), F.lit("/x"))), "|").alias("t")))
 
 
 # ---- sources

@@ -47,10 +47,10 @@ def _(spark, d):
     return L.value_types(v, _index(spark, d))
 
 
-@q("x04_relation_keywords", "SELECT 'place' AS word, 'locatedIn|partOf' AS relations UNION ALL SELECT 'sells', 'supplies'")
+@q("x04_relation_keywords", "SELECT word, array_to_string(list_sort(list(DISTINCT attribute)), '|') AS relations FROM (SELECT attribute, unnest(aliases) AS word FROM attr_schema) GROUP BY 1")
 def _(spark, d):
-    k = spark.createDataFrame([("locatedIn", ["place", "where"]), ("partOf", ["place", "belongs"]), ("supplies", ["sells"])], "relation string, keywords array<string>")
-    return L.relations_of(spark.createDataFrame([("place",), ("sells",), ("none",)], "word string"), k)
+    k = table(spark, d, "attr_schema").select(F.col("attribute").alias("relation"), F.col("aliases").alias("keywords"))
+    return L.relations_of(k.select(F.explode("keywords").alias("word")).distinct(), k)
 
 
 @q("x06_normalised", "SELECT relation, CASE WHEN relation = 'deployedOn' AND lower(trim(tail)) = 'patrol vessel' THEN 'ship' ELSE trim(regexp_replace(tail, '\\s+', ' ', 'g')) END AS tail, count(*) AS n FROM wikidata_enrich_out WHERE tail IS NOT NULL GROUP BY 1, 2")
@@ -149,11 +149,14 @@ def _(spark, d):
     return C.best_assignment([r, n], F.col("r_regionkey") * 100 + F.col("n_nationkey")).select("r_name", "n_name", "score")
 
 
-@q("r28_signature", "SELECT count(*) AS n_rows, true AS same FROM orders")
+@q("r28_signature", "SELECT 'other order' AS answer, count(*) AS n_rows, true AS same FROM orders UNION ALL SELECT 'one value changed', count(*), false FROM orders")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    a, b = C.signature(o, "o_orderkey", "o_orderstatus"), C.signature(o.orderBy(F.desc("o_totalprice")), "o_orderstatus", "o_orderkey")
-    return a.join(b.select(F.col("signature").alias("s2"))).select(F.col("n_rows"), (F.col("signature") == F.col("s2")).alias("same"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    one = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == o.agg(F.max("o_orderkey")).scalar(), "?").otherwise(F.col("o_orderstatus")))
+    own = C.signature(o, "o_orderkey", "o_orderstatus")
+    others = [("other order", C.signature(o.repartition(3, "o_orderstatus"), "o_orderstatus", "o_orderkey")), ("one value changed", C.signature(one, "o_orderkey", "o_orderstatus"))]
+    cases = [own.join(b.select(F.col("signature").alias("s2"))).select(F.lit(name).alias("answer"), "n_rows", (F.col("signature") == F.col("s2")).alias("same")) for name, b in others]
+    return cases[0].unionByName(cases[1])
 
 
 @q("r39_program_diff", "SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'structure' WHEN o_orderkey % 4 = 1 THEN 'identical' WHEN o_orderkey % 4 = 2 THEN 'single field' ELSE 'several fields' END AS kind, count(*) AS n FROM orders GROUP BY 1")
@@ -171,11 +174,11 @@ def _(spark, d):
     return C.unknown_fields(o, spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "field string"))
 
 
-@q("r42_support_ratio", "SELECT c_custkey AS id, 0.5 AS ratio FROM customer")
+@q("r42_support_ratio", "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END AS ratio FROM customer")
 def _(spark, d):
-    c = table(spark, d, "customer")
-    s = c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" unheard")).alias("text"))
-    return C.support_ratio(s, c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("fact")))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("fact"))
+    said = F.when(F.col("id") % 3 == 0, F.concat("fact", F.lit(" unheard"))).when(F.col("id") % 3 == 1, F.col("fact")).otherwise("unheard")
+    return C.support_ratio(c.select("id", said.alias("text")), c)
 
 
 @q("k07_record_set", "SELECT DISTINCT record_id FROM typed_records WHERE family_id = 'veltor_meridian900' AND component = 'antenna' ORDER BY 1")

@@ -57,7 +57,7 @@ program("f21_qfilter_num", "SELECT count(DISTINCT o_custkey) AS value FROM order
 program("f21_qfilter_year", "SELECT count(*) AS value FROM (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey % 100 < 40)", S("FindAll"), S("FilterConcept", "supplier"), S("Relate", "located in", "forward"), S("QFilterYear", "since", "1940", "<"), S("Count"))
 program("f21_qfilter_date", "SELECT count(DISTINCT o_custkey) AS value FROM orders WHERE o_orderdate >= '1998-07-01' AND year(o_orderdate) = 1998", S("FindAll"), S("FilterYear", "ordered", "1998", "="), S("QFilterDate", "date", "1998-06-30", ">"), S("Count"))
 program("j05_relate_backward", "SELECT count(*) AS value FROM supplier WHERE s_nationkey = 7", S("Find", "NATION_7"), S("Relate", "located in", "backward"), S("Count"))
-program("j06_query_relation", "SELECT 'located in' AS value", S("Find", "Supplier#000000001"), S("Find", "Supplier#000000001"), S("Relate", "located in", "forward"), S("QueryRelation"))
+program("j06_query_relation", "SELECT min('located in') AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1", S("Find", "Supplier#000000001"), S("Find", "Supplier#000000001"), S("Relate", "located in", "forward"), S("QueryRelation"))
 program("u05_and", "SELECT count(*) AS value FROM customer WHERE c_nationkey = 7 AND c_acctbal > 1000", S("Find", "NATION_7"), S("Relate", "citizen of", "backward"), S("FindAll"), S("FilterNum", "balance", "1000 USD", ">"), S("And"), S("Count"))
 program("u05_or", "SELECT count(*) AS value FROM customer WHERE c_nationkey IN (7, 8)", S("Find", "NATION_7"), S("Relate", "citizen of", "backward"), S("Find", "NATION_8"), S("Relate", "citizen of", "backward"), S("Or"), S("Count"))
 program("k01_what", "SELECT 'NATION_' || s_nationkey AS value FROM supplier WHERE s_suppkey = 4", S("Find", "Supplier#000000004"), S("Relate", "located in", "forward"), S("What"))

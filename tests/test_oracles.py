@@ -14,6 +14,9 @@ for m in MODULES:
     SQL |= mod.SQL
 
 
+EMPTY_AT_THIS_SCALE: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con(data):
     return views(data)
@@ -27,7 +30,7 @@ def test_same_as_sql(spark, data, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
     df = QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0 or name in EMPTY_AT_THIS_SCALE)
 
 
 def test_entry_registers_everything():
