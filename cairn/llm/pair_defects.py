@@ -26,7 +26,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -131,9 +130,16 @@ WINDOW = 240  # characters; refusals are shorter, and half of it overlaps
 _WORDS = re.compile(r"[a-z']+|[㐀-鿿]")
 
 
-@lru_cache(maxsize=100_000)
+_CODES: dict[str, int] = {}  # a plain dictionary travels with the functions to the workers, unlike a cached function
+
+
 def _code(word: str) -> int:
-    return zlib.crc32(word.encode())
+    code = _CODES.get(word)
+    if code is None:
+        if len(_CODES) >= 100_000:
+            _CODES.clear()
+        code = _CODES[word] = zlib.crc32(word.encode())
+    return code
 
 
 def _buckets(words: list[str], known: set[str]) -> np.ndarray:

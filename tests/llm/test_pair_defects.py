@@ -74,3 +74,17 @@ def test_hostile_rows(spark, data):
     rows = {r.id: r.defect for r in P.found(g.unionByName(odd, allowMissingColumns=True), q).collect()}
     assert rows["odd1"] == "empty" and "odd2" not in rows and "odd3" not in rows and None not in rows
     assert P.found(g.limit(0), q.limit(0)).count() == 0
+
+
+def test_judging_travels_without_the_package(model, tmp_path):
+    """A worker that does not have the package can run what the plan carries."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(P._judge_batches(model)))
+    code = "import pandas as pd\nfrom pyspark import cloudpickle\nf = cloudpickle.loads(open('f.pkl', 'rb').read())\nprint(list(next(f(iter([pd.DataFrame({'id': ['a', 'b'], 'question': ['What is it?'] * 2, 'answer': [None, '12 kW']})])))['defect']))"
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "['empty', None]", out.stderr[-800:]
