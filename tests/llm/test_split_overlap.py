@@ -100,3 +100,29 @@ def test_word_counts_may_differ_freely():
     counts = lambda w: [[50, 50] for _ in w]
     b = ["plaese", "kindlyy", "thankss", "questionn", "urgentt", "thanksx", "pleasee", "kindlly", "urrgent", "quesstion"] + a
     assert S.same_wording(a, b, counts(a), counts(b)) and not S.same_wording(a, ["transmitter"] + a, counts(a), counts(a) + [[50, 50]])
+
+
+def test_only_questions_of_the_same_fixed_words_meet(spark, questions):
+    """Other model letters or figures never meet, so candidates grow with the questions and not with their templates."""
+    texts, _ = S.classes(questions)
+    of = {r.cid: r.text for r in texts.collect()}
+    pairs = [(of[r.cid_t], of[r.cid_e]) for r in S.similar(texts).collect()]
+    assert pairs and all("aab" not in e and "101" not in e for _, e in pairs)
+
+
+def test_crowded_fixed_words_same_as_all_pairs(spark):
+    """So many texts of the same fixed words that the prefix filter finds the pairs, beside some that are compared directly."""
+    import random
+
+    rng, things = random.Random(5), [f"{a}{b}" for a in ("trans", "recei", "gener", "condu", "radi") for b in ("mitter", "ver", "ator", "ctor", "ance")]
+    of = lambda k, n: " ".join(rng.sample(things, n)) + f" {k}"
+    rows = [(f"{k}-{i}", "train" if i % 2 else "dev", "s", of(k, 3)) for k, many in ((7, 100), (8, 6)) for i in range(many)]
+    texts, _ = S.classes(spark.createDataFrame(rows, "id string, split string, source string, question string"))
+    own = texts.collect()
+    brute = {(a.cid, b.cid) for a in own if a.train for b in own if b.evaluation and a.numbers == b.numbers and 5 * len(set(a.grams) & set(b.grams)) >= 2 * len(set(a.grams) | set(b.grams))}
+    assert {(r.cid_t, r.cid_e) for r in S.similar(texts).collect()} == brute and len(brute) > 50
+
+
+def test_nothing_is_broadcast(spark, questions):
+    plan = S.class_pairs(S.classes(questions)[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
