@@ -66,15 +66,25 @@ def best_form(names: DataFrame, key: Column) -> DataFrame:
     return names.withColumn("key", key).groupBy("key").agg(F.max_by("name", F.struct(hyphens, F.length("name"), F.col("name"))).alias("form"))
 
 
-def longest_alias(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """W-10: id, surface, canonical of the longest alias in each text, by whole words: aliases meet texts at their first word."""
+def longest_alias(texts: DataFrame, index: DataFrame, small: int = 100_000) -> DataFrame:
+    """W-10: id, surface, canonical of the longest alias in each text, by whole words: aliases meet texts at their first word.
+
+    An index of up to `small` aliases is broadcast and texts stay where they are; beyond that the words of the texts travel
+    to the aliases with a hash of the text in place of the text, and what they meet goes back to it.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    t = texts.select("id", words("text").alias("_w")).select("id", spaced(F.col("_w")).alias("_t"), F.explode(F.array_distinct("_w")).alias("w"))
-    i = index.withColumn("_w", words("surface")).filter(F.size("_w") > 0).withColumn("w", F.get("_w", F.lit(0))).withColumn("_s", spaced(F.col("_w"))).drop("_w")
-    hit = t.join(i, "w").filter(F.contains("_t", "_s"))
-    w = W.partitionBy("id").orderBy(F.desc(F.length("surface")), "surface")
-    return hit.withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("id", "surface", "canonical")
+    i = index.withColumn("_w", words("surface")).filter(F.size("_w") > 0).withColumn("w", F.get("_w", F.lit(0))).withColumn("_s", spaced(F.col("_w"))).select("w", "_s", "surface", "canonical")
+    t = texts.select("id", words("text").alias("_w"))
+    if index.limit(small + 1).count() <= small:
+        t = t.select("id", "_w", F.explode(F.array_distinct("_w")).alias("w"))
+        hit = t.join(F.broadcast(i), "w").filter(F.contains(spaced(F.col("_w")), "_s"))  # size checked above
+    else:
+        t = t.withColumn("_h", F.xxhash64("_w"))
+        met = t.select("id", "_h", F.explode(F.array_distinct("_w")).alias("w")).join(i, "w").select(F.col("id").alias("_id"), F.col("_h").alias("_g"), "_s", "surface", "canonical").distinct()
+        hit = t.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))).filter(F.contains(spaced(F.col("_w")), "_s"))
+    best = F.min(F.struct(-F.length("surface"), "surface", "canonical")).alias("m")
+    return hit.groupBy("id").agg(best).select("id", "m.surface", "m.canonical")
 
 
 def substitutes(wanted: DataFrame, schema: DataFrame, usage: DataFrame, least: int = 1) -> DataFrame:
