@@ -1,8 +1,13 @@
 """Joins whose intermediate rows must not grow faster than input and result; same rows as comparing everything."""
 
+import random
+from collections import Counter
+
 import pytest
 
+from cairn.operators.fusion import similar
 from cairn.operators.lexicon import longest_alias
+from cairn.queries.kg import QUERIES as KG
 from cairn.queries.more import QUERIES as MORE
 
 
@@ -21,3 +26,28 @@ def test_longest_alias_either_way(spark, small):
 def test_texts_stay_where_they_are(spark, data):
     p = plan(MORE["w10_longest_alias"](spark, data))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_similar_same_as_all_pairs(spark):
+    """With repeated names, nulls, families and ties; before, every pair of a country was made."""
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(i, i, i, 7, None), pick("x", "x", "y", None), pick("p", "q", None), pick(1, 2, 3), pick(1.0, 2.0)) for i in range(90)]
+    family = [(a, b) for a in range(0, 90, 9) for b in range(60) if rng.random() < 0.5]
+    weights, want = {"t": 0.6, "s": 0.4, "u": 0.0}, []
+    by = {}
+    for n, c, *x in rows:
+        for m, d, *y in rows:
+            if None not in (n, m, c, d) and c == d and n != m and (n, m) not in set(family):
+                score = round(sum(w for w, p, q in zip(weights.values(), x, y) if p is not None and p == q), 6)
+                if score > 0:
+                    by.setdefault(n, []).append((-score, m))
+    for n, pairs in by.items():
+        want += [(n, m, -s, k) for k, (s, m) in enumerate(sorted(pairs)[:5], 1)]
+    f = spark.createDataFrame(rows, "name long, country string, t string, s long, u double")
+    assert Counter(map(tuple, similar(f, spark.createDataFrame(family, "a long, b long"), weights).collect())) == Counter(want)
+
+
+def test_similar_parts_meet_by_features(spark, data):
+    joins = [x for x in plan(KG["j19_similar_parts"](spark, data)).splitlines() if "Join" in x and "country#" in x]
+    assert joins and all("p_type#" in x or "p_size#" in x for x in joins)
