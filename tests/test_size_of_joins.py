@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from cairn.operators.fusion import similar
+from cairn.operators.fusion import sharing_pairs, similar
 from cairn.operators.lexicon import longest_alias
 from cairn.queries.kg import QUERIES as KG
 from cairn.queries.more import QUERIES as MORE
@@ -51,3 +51,23 @@ def test_similar_same_as_all_pairs(spark):
 def test_similar_parts_meet_by_features(spark, data):
     joins = [x for x in plan(KG["j19_similar_parts"](spark, data)).splitlines() if "Join" in x and "country#" in x]
     assert joins and all("p_type#" in x or "p_size#" in x for x in joins)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_sharing_pairs_same_as_all_pairs(spark, least):
+    """Also without confidences: that of the first shared tail that has one; before, the first tail's alone."""
+    rng, best = random.Random(7), {}
+    rows = [(rng.choice("abcdefghijklmnopq"), "r", rng.choice("uvwxyz"), rng.choice([None, 0.5, 0.7, 0.9])) for _ in range(70)]
+    rows += [("hub", "r", t, None) for t in "uvwxyz"] + [("nul", "r", "u", None), ("nul", "r", "v", None), ("two", "r", "u", None), ("two", "r", "v", 0.8), (None, "r", "u", 0.5), ("a", "r", None, 0.5), ("a", "other", "u", 1.0)]
+    for h, r, t, c in rows:
+        if r == "r" and None not in (h, t):
+            best.setdefault(h, {})[t] = max([x for x in (best.get(h, {}).get(t), c) if x is not None], default=None)
+    want = []
+    for a in best:
+        for b in best:
+            both = sorted(best[a].keys() & best[b].keys())
+            if a != b and len(both) >= least:
+                known = [min(x) for t in both if (x := [v for v in (best[a][t], best[b][t]) if v is not None])]
+                want.append((a, "n", b, round(known[0] - 0.05, 4) if known else None, len(both)))
+    got = sharing_pairs(spark.createDataFrame(rows, "head string, relation string, tail string, confidence double"), "r", "n", least, 0.05).collect()
+    assert Counter(map(tuple, got)) == Counter(want) and (least == 3 or any(w[3] is None for w in want))
